@@ -40,6 +40,18 @@ def op4_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
 
 
+def op6_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .licenses import license_digest
+
+    return license_digest(_table(spark, sf_dir, "documents"))
+
+
+def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .url_filter import judge
+
+    return judge(_table(spark, sf_dir, "pages"))
+
+
 def op8_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .simhash_dedup import dedup_digest
 
@@ -60,6 +72,6 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_toxicity, op2_mixing, op3_token_store, op4_exact_topk, op8_simhash_dedup, op9_quality_rules, op10_packing)
+    for f in (op1_toxicity, op2_mixing, op3_token_store, op4_exact_topk, op6_licenses, op7_url_filter, op8_simhash_dedup, op9_quality_rules, op10_packing)
 }
 SQL: dict[str, str] = {}
