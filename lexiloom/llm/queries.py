@@ -40,6 +40,13 @@ def op4_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
 
 
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, text without the removed lines, n_lines, n_removed."""
+    from .line_dedup import dedup_lines
+
+    return dedup_lines(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op6_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .licenses import license_digest
 
@@ -72,6 +79,6 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_toxicity, op2_mixing, op3_token_store, op4_exact_topk, op6_licenses, op7_url_filter, op8_simhash_dedup, op9_quality_rules, op10_packing)
+    for f in (op1_toxicity, op2_mixing, op3_token_store, op4_exact_topk, op5_line_dedup, op6_licenses, op7_url_filter, op8_simhash_dedup, op9_quality_rules, op10_packing)
 }
 SQL: dict[str, str] = {}

@@ -29,7 +29,7 @@ has no other document; an empty table gives no rows; other columns are ignored.
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .bits import majority
@@ -234,7 +234,10 @@ def dedup_digest(docs: DataFrame) -> DataFrame:
 
 def keep_one(docs: DataFrame) -> DataFrame:
     """The documents, one of each component: that with the smallest doc_id (of
-    repeated rows of it, one)."""
-    marks = dedup(docs).where("doc_id = component_id or (doc_id is null and component_id is null)").select("doc_id").distinct()
-    keep = docs.join(marks.withColumnRenamed("doc_id", "__id"), F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi")
-    return keep.dropDuplicates(["doc_id"])
+    repeated rows of it, the one with the smallest hash of text)."""
+    null = F.lit(-(1 << 63))
+    key = lambda c: F.coalesce(F.col(c).cast("long"), null)
+    marks = dedup(docs).where(key("doc_id") == key("component_id")).select(key("doc_id").alias("__id")).distinct()
+    rows = docs.withColumn("__id", key("doc_id")).join(marks, "__id", "left_semi")
+    nth = F.row_number().over(Window.partitionBy("__id").orderBy(F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))))
+    return rows.withColumn("__nth", nth).where("__nth = 1").select(*docs.columns)
