@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import graph_queries, search_queries, state_queries
+from . import chunk_queries, graph_queries, search_queries, state_queries
 
-MODULES = (search_queries, graph_queries, state_queries)
+MODULES = (search_queries, graph_queries, state_queries, chunk_queries)
 
 
 def queries() -> dict:
