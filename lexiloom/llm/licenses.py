@@ -133,6 +133,14 @@ def _places(regex: str) -> str:
         (a, c) -> named_struct('at', array_append(a.at, a.n + c), 'n', a.n + c), a -> slice(a.at, 1, size(a.at) - 1))"""
 
 
+def prefilter(keys: list[str]) -> str:
+    """A regular expression for any of the keywords at the start of a word, grouped by first letter."""
+    by: dict[str, set[str]] = {}
+    for k in keys:
+        by.setdefault(k[0], set()).add(k[1:])
+    return " (?:" + "|".join(f"{c}(?:{'|'.join(sorted(rest))})" for c, rest in sorted(by.items())) + ")"
+
+
 def scan(docs: DataFrame, signatures: list[Rule] | None = None) -> DataFrame:
     """doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score, detections.
 
@@ -140,11 +148,10 @@ def scan(docs: DataFrame, signatures: list[Rule] | None = None) -> DataFrame:
     signatures = rules() if signatures is None else signatures
     keys = sorted({r.key for r in signatures})
     low = F.translate(F.coalesce(F.col("text").cast("string"), F.lit("")), _UPPER, _LOWER)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), low.alias("low"))
-    # a keyword's words may stand with any separators between them in the text
-    gate = "|".join(sorted({k.strip().split(" ")[0] for k in keys} - {"cc", "the", "do", "isc", "bsd"}) + [r"(?<![0-9a-z])(?:cc|isc|bsd)(?![0-9a-z])", "do" + SEPARATOR + "what"])
-    rows = rows.select("doc_id", F.regexp_count("low", F.lit(WORD)).cast("long").alias("n_words"), F.when(F.col("low").rlike(gate), F.concat(F.lit(" "), F.regexp_replace("low", SEPARATOR, " "), F.lit(" "))).alias("raw"))
-    rows = rows.withColumn("padded", F.regexp_replace("raw", " +", " ")).drop("raw")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.trim(F.regexp_replace(low, SEPARATOR, " ")).alias("words"))
+    n_words = F.when(F.col("words") == "", 0).otherwise(F.length("words") - F.length(F.replace("words", F.lit(" "), F.lit(""))) + 1)
+    rows = rows.select("doc_id", n_words.cast("long").alias("n_words"), F.concat(F.lit(" "), "words", F.lit(" ")).alias("words"))
+    rows = rows.select("doc_id", "n_words", F.when(F.col("words").rlike(prefilter([*keys, *BASE])), F.col("words")).alias("padded"))
     base = "array(" + ", ".join(f"named_struct('label', {_quote(label)}, 'at', {_places(_quote(phrase))})" for phrase, label in BASE.items()) + ")"
     groups = "array(" + ", ".join(f"named_struct('key', {_quote(k)}, 'rules', array(" + ", ".join(f"named_struct('regex', {_quote(r.regex)}, 'priority', {r.priority}, 'label', {_quote(r.label)})" for r in signatures if r.key == k) + "))" for k in keys) + ")" if keys else "array()"
     rows = rows.withColumn("base", F.expr(f"CASE WHEN padded IS NOT NULL THEN {base} END"))
