@@ -81,4 +81,19 @@ QUERIES = {
     f.__name__: f
     for f in (op1_toxicity, op2_mixing, op3_token_store, op4_exact_topk, op5_line_dedup, op6_licenses, op7_url_filter, op8_simhash_dedup, op9_quality_rules, op10_packing)
 }
-SQL: dict[str, str] = {}
+SQL = {
+    "op2_mixing": r"""WITH s AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size, md5(coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents),
+  t AS (SELECT source, CAST(sum(size) AS BIGINT) AS w, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS k FROM s GROUP BY source),
+  r AS (SELECT *, ([5, 2, 1])[k % 3 + 1] AS weight, CAST(sum(w) OVER () AS BIGINT) AS total FROM t),
+  c AS (SELECT *, total - coalesce(sum(3 * w) OVER (ORDER BY 3 * w / weight::DOUBLE, k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS rest,
+          sum(weight) OVER (ORDER BY 3 * w / weight::DOUBLE, k ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS weights FROM r),
+  o AS (SELECT *, rest::DOUBLE * weight / weights::DOUBLE > 3 * w AS over FROM c),
+  f AS (SELECT min_by(rest, 3 * w / weight::DOUBLE) AS rest, max(weights) AS weights FROM o WHERE NOT over),
+  g AS (SELECT o.source, o.w, CASE WHEN o.over THEN 3.0 * o.w ELSE f.rest::DOUBLE * o.weight / f.weights::DOUBLE END::DOUBLE AS target FROM o, f),
+  p AS (SELECT s.*, w, target, CAST(floor(target + 0.5) AS BIGINT) AS take, coalesce(sum(size) OVER (PARTITION BY s.source ORDER BY h, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS a FROM s JOIN g ON s.source IS NOT DISTINCT FROM g.source)
+SELECT doc_id, size, w AS source_size, target, CAST(coalesce(take // nullif(w, 0) * size + greatest(0, least(take % nullif(w, 0), a + size) - a), 0) AS BIGINT) AS taken FROM p""",
+    "op4_exact_topk": """WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(64 * CAST(x AS DOUBLE))) AS v FROM embeddings WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+  p AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_dot_product(q.v, c.v) AS BIGINT) AS score FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 20 = 0)
+SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM p QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) <= 20""",
+}
