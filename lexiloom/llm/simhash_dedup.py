@@ -113,7 +113,7 @@ class BKTree:
 
 
 def shard_links(values: list[int], radius: int, cap: int, bits: list[int]) -> list[tuple[int, int]]:
-    """Links that join the groups of one shard; ``bits``: positions that may differ."""
+    """Links from every member of a group of one shard to its least; ``bits``: positions that may differ."""
     if len(values) > cap and len(bits) > radius + 1:
         out = []
         for part in np.array_split(np.array(bits), radius + 1):
@@ -126,7 +126,8 @@ def shard_links(values: list[int], radius: int, cap: int, bits: list[int]) -> li
                 if len(group) > 1:
                     out += shard_links(group, radius, cap, rest)
         return out
-    tree, parent, out = BKTree(), list(range(len(values))), []
+    values = sorted(values)  # so that the root of a group is its least
+    tree, parent = BKTree(), list(range(len(values)))
 
     def root(i: int) -> int:
         while parent[i] != i:
@@ -139,8 +140,7 @@ def shard_links(values: list[int], radius: int, cap: int, bits: list[int]) -> li
             a, b = root(i), root(j)
             if a != b:
                 parent[max(a, b)] = min(a, b)
-                out.append((v, values[j]))
-    return out
+    return [(v, values[r]) for i, v in enumerate(values) if (r := root(i)) != i]
 
 
 _PAIRS = [(i, j) for i in range(4) for j in range(i + 1, 4)]
