@@ -3,6 +3,8 @@ Arrow mapping and sizes of shuffles."""
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -47,12 +49,25 @@ def map_arrow(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[d
     arrow = to_arrow_schema(st)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for out in fn(batches):
-            yield pa.RecordBatch.from_arrays([pa.array(out[f.name], type=f.type) for f in arrow], schema=arrow)
+        try:
+            for out in fn(batches):
+                yield pa.RecordBatch.from_arrays([pa.array(out[f.name], type=f.type) for f in arrow], schema=arrow)
+        finally:
+            _give_back()
 
     return df.mapInArrow(run, st)
 
 
+def _give_back() -> None:
+    """Returns a finished task's memory to the system: workers are kept, and would hold their peak."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):
+        return  # another C library
+
+
 def slices(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
     """Batches of at most ``rows`` rows, so that Python holds few long texts at a time."""
     for b in batches:
