@@ -22,7 +22,7 @@ def sessions(events: DataFrame, minutes: int = SESSION_MINUTES) -> DataFrame:
 
 def stream_sessions(events: DataFrame, minutes: int = SESSION_MINUTES, late: str = "10 minutes") -> DataFrame:
     """The same on a stream: closed sessions, once the watermark has passed them."""
-    return sessions(events.withWatermark("ts", late), minutes)
+    return sessions(events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late), minutes)
 
 
 def with_session(events: DataFrame, minutes: int = SESSION_MINUTES) -> DataFrame:
@@ -86,7 +86,8 @@ def stateful_sessions(events: DataFrame, minutes: int = SESSION_MINUTES) -> Data
         yield pd.DataFrame({"user_id": [key[0]], "session": [session], "n": [n]})
 
     return (
-        events.withWatermark("ts", "10 minutes")
+        events.withColumn("ts", F.col("ts").cast("timestamp"))
+        .withWatermark("ts", "10 minutes")
         .groupBy("user_id")
         .applyInPandasWithState(step, "user_id long, session int, n int", "last timestamp, session int, n int", "update", "EventTimeTimeout")
     )
