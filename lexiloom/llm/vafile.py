@@ -95,8 +95,8 @@ def _dot(v: np.ndarray, q: np.ndarray, small: bool) -> np.ndarray:
     return np.array([max(-limit - 1, min(limit, int(np.dot(r.astype(object), q.astype(object))))) for r in v], np.int64)
 
 
-def search(table: DataFrame, lo: np.ndarray, width: np.ndarray, queries: list[tuple[int, bytes]], k: int) -> DataFrame:
-    """One pass: query_id, vec_id, score of each task's k best candidates of each query."""
+def search(table: DataFrame, lo: np.ndarray, width: np.ndarray, queries: list[tuple[int, bytes]], k: int, first: int = 0) -> DataFrame:
+    """One pass: number (from ``first``), query_id, vec_id, score of each task's k best candidates of each query."""
     ids = np.array([q[0] for q in queries], np.int64)
     q = _matrix([x[1] for x in queries], len(lo))
     shared = table.sparkSession.sparkContext.broadcast((ids, q, lo, width))
@@ -137,9 +137,9 @@ def search(table: DataFrame, lo: np.ndarray, width: np.ndarray, queries: list[tu
         for s in range(0, len(ids), 1024):
             part = range(s, min(s + 1024, len(ids)))
             n = [len(top[i][0]) for i in part]
-            yield {"query_id": np.repeat(ids[s : s + len(n)], n), "vec_id": np.concatenate([top[i][1] for i in part]), "score": np.concatenate([top[i][0] for i in part])}
+            yield {"number": np.repeat(np.arange(first + s, first + s + len(n)), n), "query_id": np.repeat(ids[s : s + len(n)], n), "vec_id": np.concatenate([top[i][1] for i in part]), "score": np.concatenate([top[i][0] for i in part])}
 
-    return map_arrow(table, run, "query_id long, vec_id long, score long")
+    return map_arrow(table, run, "number long, query_id long, vec_id long, score long")
 
 
 def top_k(vectors: DataFrame, is_query, k: int = 20, query_block: int = 4096, scale: float = 64.0) -> DataFrame:
@@ -151,11 +151,11 @@ def top_k(vectors: DataFrame, is_query, k: int = 20, query_block: int = 4096, sc
     for j in range(blocks):
         queries = [(r[0], bytes(r[1])) for r in rows.where(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)) == j).collect()]
         if queries:
-            found.append(search(table, lo, width, queries, k))
+            found.append(search(table, lo, width, queries, k, j << 32))
     if not found:
         return vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score long")
     out = found[0]
     for f in found[1:]:
         out = out.union(f)
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+    rank = F.row_number().over(Window.partitionBy("number").orderBy(F.desc("score"), "vec_id"))
     return out.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
