@@ -31,7 +31,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import map_arrow, slices
+from .common import map_arrow, ship, slices
 
 TOP, SHORT, MIN_WORDS, LETTERS = 32, 5, 50, 0.9
 CHAR_LIMIT, CHAR_SLACK, WORD_LIMIT, WORD_SLACK = 0.15, 1.0, 0.22, 1.5
@@ -183,6 +183,7 @@ def judge(docs: DataFrame, refs: dict[str, dict] | None = None) -> DataFrame:
 def keep(docs: DataFrame) -> DataFrame:
     """The rows that are kept, all columns as they are (a filter, no join)."""
     known = docs.sparkSession.sparkContext.broadcast(references(docs))
+    ship(docs.sparkSession)
 
     @F.pandas_udf("boolean")
     def kept(text, lang):
