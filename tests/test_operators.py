@@ -146,5 +146,13 @@ def test_resolution_order_and_section_rule(spark):
     assert {r["citation"]: r["target"] for r in got.collect()} == dict(zip(ask, [2, 2, 3, 4, None, None]))
 
 
+def test_reading_seven_of_eight_cells_finds_nine_tenths(spark):
+    from lexiloom.plans.answer_queries import vector_index_recall
+
+    from tests.conftest import SF
+
+    assert vector_index_recall(spark, SF).first()["recall"] >= 0.9
+
+
 def test_weights_override_ignores_bad_parts():
     assert config.weights_from("CITES:0.9, bad, X:y", {"CITES": 0.35, "IMPLEMENTS": 0.75}) == {"CITES": 0.9, "IMPLEMENTS": 0.75}
