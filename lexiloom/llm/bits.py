@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import combinations
+
 import numpy as np
 
 _LANES = np.uint64(0x0101010101010101)
@@ -29,3 +31,28 @@ def majority(hashes: np.ndarray, starts: np.ndarray) -> np.ndarray:
     ends = np.append(starts[1:], len(hashes))
     bits = 2 * bit_counts(hashes, starts) > (ends - starts)[:, None]
     return np.packbits(bits, axis=1, bitorder="little").view("<u8").ravel()
+
+
+def scheme(n: int, radius: int) -> tuple[int, int]:
+    """Blocks of the 64 bits, and how many of them two words within the radius share, for n words:
+    the fewest keys whose buckets of unrelated words hold about 64 or fewer."""
+    for shared in range(1, 5):
+        blocks = radius + shared
+        if n <= 64 << (64 * shared // blocks):
+            break
+    return blocks, shared
+
+
+def masks(blocks: int, shared: int) -> list[int]:
+    """The bits of every choice of ``shared`` blocks."""
+    edges = [64 * k // blocks for k in range(blocks + 1)]
+    one = [((1 << edges[k + 1]) - 1) ^ ((1 << edges[k]) - 1) for k in range(blocks)]
+    return [sum(c) for c in combinations(one, shared)]
+
+
+def signed(word: int) -> int:
+    return word - (1 << 64) if word >> 63 else word
+
+
+def free_bits(mask: int) -> list[int]:
+    return [b for b in range(64) if not mask >> b & 1]

@@ -205,8 +205,8 @@ def test_simhash_components_against_all_pairs(odd):
 def test_shard_trees_lose_no_link_in_hot_shards(spark):
     r = np.random.RandomState(2)
     values = np.unique(r.randint(0, 1 << 12, 1500))
-    classes = spark.createDataFrame([(int(v),) for v in values], "fp long")
-    links = [tuple(x) for x in simhash_dedup.link_classes(classes, 2, 32).collect()]
+    classes = spark.createDataFrame([(int(v), int(v), 0) for v in values], "id long, fp long, fp2 long")
+    links = [tuple(x) for x in simhash_dedup.link_classes(classes, len(values), 2, tree_cap=32).collect()]
     parent = {int(v): int(v) for v in values}
 
     def root(x):
@@ -215,7 +215,6 @@ def test_shard_trees_lose_no_link_in_hot_shards(spark):
         return x
 
     for a, b in links:
-        assert (a ^ b).bit_count() <= 12
         parent[max(root(a), root(b))] = min(root(a), root(b))
     for i, a in enumerate(values.tolist()):
         for b in values[:i][np.bitwise_count(values[:i] ^ a) <= 2].tolist():
@@ -274,3 +273,34 @@ def test_lines_keep_one_of_each_group(spark):
     assert len(kept) <= 2 and (0, line, 0) in got  # the null doc_id sorts first and keeps the line
     assert (1, "short line", 2) in got and (3, "short line\nshort line", 0) in got and (2, None, 0) in got
     assert (2, "intro words that stand here alone", 1) in got
+
+
+@pytest.mark.parametrize("radius", [2, 5])
+def test_every_pair_within_the_radius_shares_a_choice_of_blocks(radius):
+    from lexiloom.llm.bits import masks, scheme
+
+    r = np.random.RandomState(4)
+    for n in (10, 10**6, 10**9, 10**12):
+        choices = masks(*scheme(n, radius))
+        for _ in range(50):
+            a = int(r.randint(0, 1 << 62))
+            b = a
+            for bit in r.choice(64, radius, replace=False):
+                b ^= 1 << int(bit)
+            assert any((a ^ b) & m == 0 for m in choices)
+
+
+def test_near_copies_are_found_and_others_left_alone(spark):
+    r = np.random.RandomState(6)
+    vocabulary = ["".join(r.choice(list("abcdefghij"), 5)) for _ in range(400)]
+    rows = []
+    for k in range(60):
+        words = [vocabulary[i] for i in r.randint(0, 400, 200)]
+        rows.append((10 * k, " ".join(words)))
+        if k % 3 == 0:
+            for at in r.choice(200, 3, replace=False):
+                words[at] = vocabulary[r.randint(400)]
+            rows.append((10 * k + 1, " ".join(words).capitalize() + "!"))
+    got = {x["doc_id"]: x["component_id"] for x in simhash_dedup.near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert sum(got[10 * k + 1] == 10 * k for k in range(0, 60, 3)) >= 19
+    assert all(got[10 * k] == 10 * k for k in range(60))
