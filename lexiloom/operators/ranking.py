@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..config import AUTHORITY_RANK, CACHE_DECAY, CONFLICT_RESERVE, CONTEXT_TOKENS, INFERRED, LEVEL_K, MMR_LAMBDA, NOVELTY, STRONG, UNKNOWN_RANK
+from ..config import AUTHORITY_RANK, CACHE_DECAY, CONTEXT_TOKENS, INFERRED, LEVEL_K, MMR_LAMBDA, NOVELTY, STRONG, UNKNOWN_RANK
 from ..functions import cosine, lookup
 
 # The order in which results of a source are given up under a token budget.
