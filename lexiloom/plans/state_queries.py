@@ -158,6 +158,18 @@ def session_numbers(spark: SparkSession, d: str) -> DataFrame:
     return streaming.with_session(views.table(spark, d, "events")).select("event_id", "user_id", "session")
 
 
+def stream_session_ttl(spark: SparkSession, d: str) -> DataFrame:
+    """The events as a stream, in one run over what is there: sessions that the watermark has closed."""
+    import uuid
+
+    schema = views.table(spark, d, "events").schema
+    stream = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(d)
+    name = f"sessions_{uuid.uuid4().hex}"
+    run = streaming.stream_sessions(stream).writeStream.format("memory").queryName(name).outputMode("append").trigger(availableNow=True).start()
+    run.awaitTermination()
+    return spark.table(name).select("user_id", F.col("start").cast("timestamp_ntz").alias("start"), F.col("end").cast("timestamp_ntz").alias("end"), "n")
+
+
 def last_n_turns(spark: SparkSession, d: str) -> DataFrame:
     return streaming.last_turns(views.table(spark, d, "conversations"), 2).select("conv_id", "turn", "role")
 
@@ -248,7 +260,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         manifest_unprocessed, manifest_summary, manifest_latest, merge_nodes, merge_edges, load_edges, completeness_report, etl_summary, embedding_cost, point_lookup, page_text,
-        trace_split, trace_stages, retention_cleanup, conversation_cap, orphan_cleanup, cascade_delete, owned_conversations, register_users, session_ttl, session_numbers, last_n_turns,
+        trace_split, trace_stages, retention_cleanup, conversation_cap, orphan_cleanup, cascade_delete, owned_conversations, register_users, session_ttl, session_numbers, stream_session_ttl, last_n_turns,
         chunk_cache, citation_map, filter_carry, rewrite_context, tree_depth, tree_consensus, tree_truncate, retrieval_plan, leaf_answers, level_checks, premise_corrections, weights_override,
     )
 }
@@ -279,6 +291,8 @@ FROM documents LEFT JOIN labels USING (doc_id) GROUP BY 1""",
     "owned_conversations": "SELECT o_orderkey AS id, o_custkey AS user_id FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer WHERE c_acctbal > 9000)",
     "register_users": "SELECT CAST(a AS BIGINT) AS id, b AS email, c AS accepted FROM (VALUES (4, 'c@x.org', TRUE), (6, 'd@x.org', TRUE), (3, 'A@X.org', FALSE), (5, 'C@x.org', FALSE)) t(a, b, c)",
     "session_ttl": f'{_SESSIONS} SELECT user_id, min(ts) AS start, max(ts) AS "end", count(*) AS n FROM s GROUP BY user_id, session',
+    "stream_session_ttl": f"""{_SESSIONS}, g2 AS (SELECT user_id, min(ts) AS start, max(ts) AS "end", count(*) AS n FROM s GROUP BY user_id, session)
+SELECT * FROM g2 WHERE "end" + INTERVAL 60 MINUTES <= (SELECT max(ts) - INTERVAL 10 MINUTES FROM events)""",
     "session_numbers": f"{_SESSIONS} SELECT event_id, user_id, session FROM s",
     "last_n_turns": "SELECT conv_id, turn, role FROM conversations QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) <= 4",
     "chunk_cache": """WITH f AS (SELECT user_id AS session, CAST(floor(value) AS BIGINT) AS id, min(event_id) AS slot, max(event_id) AS last FROM events GROUP BY ALL)
