@@ -35,10 +35,11 @@ def majority(hashes: np.ndarray, starts: np.ndarray) -> np.ndarray:
 
 def scheme(n: int, radius: int) -> tuple[int, int]:
     """Blocks of the 64 bits, and how many of them two words within the radius share, for n words:
-    the fewest keys whose buckets of unrelated words hold about 64 or fewer."""
+    the fewest keys of at least 16 bits whose buckets of unrelated words hold about 64 or fewer."""
     for shared in range(1, 5):
         blocks = radius + shared
-        if n <= 64 << (64 * shared // blocks):
+        bits = 64 * shared // blocks
+        if bits >= 16 and n <= 64 << bits:
             break
     return blocks, shared
 
