@@ -3,7 +3,8 @@
 A text's words are its runs of [0-9a-z] and non-ASCII characters after A-Z are
 lower-cased; rules are regular expressions over the words joined by single
 spaces.  Rules are grouped by keyword: a text is looked at only if it passes a
-prefilter, and a group's rules only if the text has the group's keyword.
+prefilter, and a group's rules only if a word of the text starts with the group's
+keyword, which every name has of its own ("gpl" and "general public").
 Every rule has a priority; a detection whose words lie within those of a
 detection with higher priority is suppressed ("apache license" within
 "licensed under the apache license version 2 0").
@@ -34,42 +35,42 @@ _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 @dataclass(frozen=True)
 class Rule:
-    key: str  # must be in the text
+    key: str  # starts a word of every text that the regex fits
     regex: str  # over words joined by single spaces
     priority: int
     label: str
 
 
-# label, keyword, names (regular expressions over words), versions
+# label, names by a keyword that starts a word of each (regular expressions over words), versions
 _FAMILIES = [
-    ("gpl", "general public", "gnu general public licen[cs]e|gnu gpl|gpl", "1.0 2.0 3.0"),
-    ("lgpl", "lesser general public", "gnu lesser general public licen[cs]e|gnu lgpl|lgpl", "2.0 2.1 3.0"),
-    ("agpl", "affero", "gnu affero general public licen[cs]e|gnu agpl|agpl", "1.0 3.0"),
-    ("gfdl", "free documentation", "gnu free documentation licen[cs]e|gfdl", "1.1 1.2 1.3"),
-    ("apache", "apache", "apache software licen[cs]e|apache licen[cs]e|apache", "1.0 1.1 2.0"),
-    ("mit", "mit licen", "mit licen[cs]e|expat licen[cs]e", ""),
-    ("bsd", "bsd", "bsd licen[cs]e|berkeley software distribution", ""),
-    ("mpl", "mozilla public", "mozilla public licen[cs]e|mpl", "1.0 1.1 2.0"),
-    ("epl", "eclipse public", "eclipse public licen[cs]e|epl", "1.0 2.0"),
-    ("eupl", "european union public", "european union public licen[cs]e|eupl", "1.0 1.1 1.2"),
-    ("cddl", "common development", "common development and distribution licen[cs]e|cddl", "1.0 1.1"),
-    ("cpl", "common public licen", "common public licen[cs]e|cpl", "1.0"),
-    ("artistic", "artistic licen", "artistic licen[cs]e", "1.0 2.0"),
-    ("bsl", "boost software", "boost software licen[cs]e|bsl", "1.0"),
-    ("zlib", "zlib", "zlib licen[cs]e", ""),
-    ("isc", "isc licen", "isc licen[cs]e", ""),
-    ("ofl", "open font", "sil open font licen[cs]e|open font licen[cs]e|ofl", "1.0 1.1"),
-    ("odbl", "open database", "open database licen[cs]e|odbl", "1.0"),
-    ("osl", "open software licen", "open software licen[cs]e|osl", "1.0 2.0 2.1 3.0"),
-    ("afl", "academic free", "academic free licen[cs]e|afl", "1.1 1.2 2.0 2.1 3.0"),
-    ("wtfpl", "do what the", "do what the (?:fuck|f) you want to public licen[cs]e|wtfpl", "2.0"),
-    ("unlicense", "unlicense", "the unlicense|unlicense", ""),
-    ("psf", "python software", "python software foundation licen[cs]e|psf licen[cs]e", "2.0"),
-    ("php", "php licen", "php licen[cs]e", "3.0 3.01"),
-    ("ms-pl", "microsoft public", "microsoft public licen[cs]e", ""),
-    ("lppl", "latex project", "latex project public licen[cs]e|lppl", "1.0 1.2 1.3"),
-    ("cc0", "cc0", "cc0|creative commons zero", "1.0"),
-    ("public-domain", "public domain", "public domain dedication|(?:released|dedicated|placed) (?:in|into|to) the public domain", ""),
+    ("gpl", {"general public": "gnu general public licen[cs]e", "gpl": "gnu gpl|gpl"}, "1.0 2.0 3.0"),
+    ("lgpl", {"lesser general public": "gnu lesser general public licen[cs]e", "lgpl": "gnu lgpl|lgpl"}, "2.0 2.1 3.0"),
+    ("agpl", {"affero": "gnu affero general public licen[cs]e", "agpl": "gnu agpl|agpl"}, "1.0 3.0"),
+    ("gfdl", {"free documentation": "gnu free documentation licen[cs]e", "gfdl": "gfdl"}, "1.1 1.2 1.3"),
+    ("apache", {"apache": "apache software licen[cs]e|apache licen[cs]e|apache"}, "1.0 1.1 2.0"),
+    ("mit", {"mit licen": "mit licen[cs]e", "expat licen": "expat licen[cs]e"}, ""),
+    ("bsd", {"bsd": "bsd licen[cs]e", "berkeley software": "berkeley software distribution"}, ""),
+    ("mpl", {"mozilla public": "mozilla public licen[cs]e", "mpl": "mpl"}, "1.0 1.1 2.0"),
+    ("epl", {"eclipse public": "eclipse public licen[cs]e", "epl": "epl"}, "1.0 2.0"),
+    ("eupl", {"european union public": "european union public licen[cs]e", "eupl": "eupl"}, "1.0 1.1 1.2"),
+    ("cddl", {"common development": "common development and distribution licen[cs]e", "cddl": "cddl"}, "1.0 1.1"),
+    ("cpl", {"common public licen": "common public licen[cs]e", "cpl": "cpl"}, "1.0"),
+    ("artistic", {"artistic licen": "artistic licen[cs]e"}, "1.0 2.0"),
+    ("bsl", {"boost software": "boost software licen[cs]e", "bsl": "bsl"}, "1.0"),
+    ("zlib", {"zlib": "zlib licen[cs]e"}, ""),
+    ("isc", {"isc licen": "isc licen[cs]e"}, ""),
+    ("ofl", {"open font": "sil open font licen[cs]e|open font licen[cs]e", "ofl": "ofl"}, "1.0 1.1"),
+    ("odbl", {"open database": "open database licen[cs]e", "odbl": "odbl"}, "1.0"),
+    ("osl", {"open software licen": "open software licen[cs]e", "osl": "osl"}, "1.0 2.0 2.1 3.0"),
+    ("afl", {"academic free": "academic free licen[cs]e", "afl": "afl"}, "1.1 1.2 2.0 2.1 3.0"),
+    ("wtfpl", {"do what the": "do what the (?:fuck|f) you want to public licen[cs]e", "wtfpl": "wtfpl"}, "2.0"),
+    ("unlicense", {"unlicense": "the unlicense|unlicense"}, ""),
+    ("psf", {"python software": "python software foundation licen[cs]e", "psf licen": "psf licen[cs]e"}, "2.0"),
+    ("php", {"php licen": "php licen[cs]e"}, "3.0 3.01"),
+    ("ms-pl", {"microsoft public": "microsoft public licen[cs]e"}, ""),
+    ("lppl", {"latex project": "latex project public licen[cs]e", "lppl": "lppl"}, "1.0 1.2 1.3"),
+    ("cc0", {"cc0": "cc0", "creative commons zero": "creative commons zero"}, "1.0"),
+    ("public-domain", {"public domain": "public domain dedication|(?:released|dedicated|placed) (?:in|into|to) the public domain"}, ""),
 ]
 # the Creative Commons licences are parts x versions
 _CC_PARTS = ("by", "by-sa", "by-nd", "by-nc", "by-nc-sa", "by-nc-nd")
@@ -86,15 +87,16 @@ def _version(v: str) -> str:
 def rules() -> list[Rule]:
     """Hundreds of signatures, from families, versions and the ways in which licences are named."""
     out = []
-    for label, key, names, versions in _FAMILIES:
-        name = f"(?:the )?(?:{names})"
-        out.append(Rule(key, f"(?:{names})", 1, label))
-        out.append(Rule(key, f"(?:licen[cs]ed|released|distributed|available|provided) (?:under|by) (?:the )?(?:terms of )?{name}", 2, label))
+    for label, names, versions in _FAMILIES:
+        for key, some in names.items():
+            out.append(Rule(key, f"(?:{some})", 1, label))
+            out.append(Rule(key, f"(?:licen[cs]ed|released|distributed|available|provided) (?:under|by) (?:the )?(?:terms of )?(?:the )?(?:{some})", 2, label))
         out.append(Rule("spdx", f"spdx licen[cs]e identifier {label.replace('-', ' ')}(?: only)?", 4, label))
         for v in versions.split():
             full, number = f"{label}-{v}", rf"(?:licen[cs]e )?(?:version |v )?{_version(v)}"
-            out.append(Rule(key, f"(?:{names}) {number}", 3, full))
-            out.append(Rule(key, f"{name} {number} or (?:any |\\(at your option\\) )?later(?: version)?", 4, f"{full}-or-later"))
+            for key, some in names.items():
+                out.append(Rule(key, f"(?:{some}) {number}", 3, full))
+                out.append(Rule(key, f"(?:the )?(?:{some}) {number} or (?:any |\\(at your option\\) )?later(?: version)?", 4, f"{full}-or-later"))
             out.append(Rule(label, rf"{label} {_version(v)}", 2, full))
             out.append(Rule("spdx", f"spdx licen[cs]e identifier {label} {_version(v)}(?: only)?", 5, full))
             out.append(Rule("spdx", f"spdx licen[cs]e identifier {label} {_version(v)} or later", 6, f"{full}-or-later"))
@@ -156,7 +158,7 @@ def scan(docs: DataFrame, signatures: list[Rule] | None = None) -> DataFrame:
     groups = "array(" + ", ".join(f"named_struct('key', {_quote(k)}, 'rules', array(" + ", ".join(f"named_struct('regex', {_quote(r.regex)}, 'priority', {r.priority}, 'label', {_quote(r.label)})" for r in signatures if r.key == k) + "))" for k in keys) + ")" if keys else "array()"
     rows = rows.withColumn("base", F.expr(f"CASE WHEN padded IS NOT NULL THEN {base} END"))
     if keys:
-        found = f"flatten(transform(filter({groups}, g -> contains(padded, g.key)), g -> flatten(transform(filter(g.rules, r -> regexp_like(padded, concat(' ', r.regex, ' '))), r -> transform({_places('r.regex')}, s -> named_struct('first', s, 'last', s - 1 + _LEN_, 'priority', r.priority, 'label', r.label))))))"
+        found = f"flatten(transform(filter({groups}, g -> contains(padded, concat(' ', g.key))), g -> flatten(transform(filter(g.rules, r -> regexp_like(padded, concat(' ', r.regex, ' '))), r -> transform({_places('r.regex')}, s -> named_struct('first', s, 'last', s - 1 + _LEN_, 'priority', r.priority, 'label', r.label))))))"
         tail = "substring_index(padded, ' ', -(size(split(padded, ' ')) - 1 - CAST(s AS INT)))"
         match = f"regexp_extract({tail}, concat('^', r.regex, '(?= )'), 0)"
         found = found.replace("_LEN_", f"(length({match}) - length(replace({match}, ' ', '')) + 1)")
