@@ -44,7 +44,7 @@ def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, text without the removed lines, n_lines, n_removed."""
     from .line_dedup import dedup_lines
 
-    return dedup_lines(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return dedup_lines(_table(spark, sf_dir, "documents").select("doc_id", "text"), min_words=1)
 
 
 def op6_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
