@@ -4,9 +4,8 @@ Two histograms of a document - characters by class, and its counts of the
 language's common words - are compared with the reference of its language by
 Jensen-Shannon distance (base 2, so 0 to 1).  References are counted over all
 documents of the language that pass the base rules and consist mostly of
-letters; a common word is one of the ``top`` most frequent words of at most
-``short`` UTF-8 bytes (function words are short, and short words keep the
-count's key space small).  A document is rejected where a distance exceeds its
+letters; a common word is one of the ``top`` most frequent words, of any length
+and script.  A document is rejected where a distance exceeds its
 threshold; thresholds widen with 1 / sqrt(words), as the distance of a small
 sample does, and texts under ``min_words`` are left to the base rules.
 
@@ -14,7 +13,8 @@ Base rules (the thresholds are the contract's): fewer than 50 words, or over
 half of the words in 3-word windows that occur twice or more.
 
 Scale: two passes over the texts, neither shuffles them.  The reference pass
-sends counts of short words by language; the driver gets ``top`` + 10 numbers
+sends counts of words by language, summed by task in parts of at most
+``MOST`` words, and each task ranks its own words first; the driver gets ``top`` + 10 numbers
 a language (an error beyond ``max_languages`` languages).
 
 Cases: a null or empty text has no words and fails the base rules; a null lang
@@ -33,7 +33,8 @@ from pyspark.sql import functions as F
 
 from .common import map_arrow, ship, slices
 
-TOP, SHORT, MIN_WORDS, LETTERS = 32, 5, 50, 0.9
+TOP, SHORT, MIN_WORDS, LETTERS = 32, float("inf"), 50, 0.9  # SHORT: most bytes of a common word, none
+MOST = 200_000
 CHAR_LIMIT, CHAR_SLACK, WORD_LIMIT, WORD_SLACK = 0.15, 1.0, 0.22, 1.5
 _SPACE = " \t\n\r\x0b\x0c"
 _SYMBOLS = "#*$%&|<>"
@@ -109,6 +110,15 @@ def references(docs: DataFrame, max_languages: int = 10_000) -> dict[str, dict]:
         chars: dict[str, np.ndarray] = {}
         words: dict[str, Counter] = {}
         total: Counter = Counter()
+
+        def out():
+            for lang, c in chars.items():
+                own = words[lang]
+                keys = [f"c{i}" for i in range(N_CLASSES)] + ["n"] + ["w" + x.decode(errors="replace") for x in own]
+                yield {"lang": [lang] * len(keys), "key": keys, "n": [int(x) for x in c] + [total[lang], *own.values()]}
+            for x in (chars, words, total):
+                x.clear()
+
         for b in slices(batches, 256):
             for text, lang in zip(b.column(1).to_pylist(), b.column(2).to_pylist()):
                 raw = text.encode()
@@ -120,18 +130,14 @@ def references(docs: DataFrame, max_languages: int = 10_000) -> dict[str, dict]:
                     continue
                 chars[lang] = chars.get(lang, 0) + c
                 total[lang] += k
-                own = words.setdefault(lang, Counter())
-                for x, m in w.items():
-                    if len(x) <= SHORT:
-                        own[x] += m
-        for lang, c in chars.items():
-            own = words[lang]
-            keys = [f"c{i}" for i in range(N_CLASSES)] + ["n"] + ["w" + x.decode(errors="replace") for x in own]
-            yield {"lang": [lang] * len(keys), "key": keys, "n": [int(x) for x in c] + [total[lang], *own.values()]}
+                words.setdefault(lang, Counter()).update(w)
+            if sum(map(len, words.values())) > MOST:
+                yield from out()
+        yield from out()
 
     sums = map_arrow(_rows(docs), count, "lang string, key string, n long").groupBy("lang", "key").agg(F.sum("n").alias("n"))
     by = Window.partitionBy("lang", "word").orderBy(F.desc("n"), "key")
-    top = sums.withColumn("word", F.col("key").startswith("w")).withColumn("r", F.row_number().over(by)).where(~F.col("word") | (F.col("r") <= TOP))
+    top = sums.withColumn("word", F.col("key").startswith("w")).withColumn("r", F.row_number().over(by)).where(F.col("r") <= max(TOP, N_CLASSES + 1))
     out: dict[str, dict] = {}
     for r in top.select("lang", "key", "n").limit(max_languages * (TOP + N_CLASSES + 1) + 1).collect():
         out.setdefault(r["lang"], {})[r["key"]] = r["n"]
@@ -139,7 +145,7 @@ def references(docs: DataFrame, max_languages: int = 10_000) -> dict[str, dict]:
         raise ValueError(f"more than {max_languages} values of lang")
     refs = {}
     for lang, have in out.items():
-        words = sorted((k for k in have if k[0] == "w"), key=lambda k: (-have[k], k))
+        words = sorted((k for k in have if k[0] == "w"), key=lambda k: (-have[k], k))[:TOP]
         counts = [have[k] for k in words]
         refs[lang] = {"chars": np.array([have.get(f"c{i}", 0) for i in range(N_CLASSES)], float), "words": [k[1:].encode() for k in words], "counts": np.array([*counts, have["n"] - sum(counts)], float)}
     return refs
