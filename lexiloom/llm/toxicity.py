@@ -169,7 +169,7 @@ def training_rows(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> t
     known = labels.where("toxic is not null and doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").alias("toxic"))
     chosen = known.where(~held_out(F.col("doc_id"))).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
-    rows = texts.join(F.broadcast(chosen), "doc_id").limit(2 * sample).collect()
+    rows = texts.join(F.broadcast(chosen), "doc_id").distinct().orderBy(F.xxhash64("doc_id", "text"), "doc_id", "text").limit(2 * sample).collect()
     rows.sort(key=lambda r: (r["doc_id"], r["text"]))
     return [r["text"] for r in rows], np.array([r["toxic"] for r in rows], float)
 

@@ -8,7 +8,7 @@ against plain ones), and the URLs of the table that a rule decides.  A rule
 with a path says nothing about its host at large, so only rules for whole
 hosts count in the suffix statistics.
 
-Bound: at most ``sample`` URLs that rules decide (those with the smallest
+Bound: at most ``sample`` different URLs that rules decide (those with the smallest
 hash) are learned from, on the driver.  Scoring is one SQL expression; the
 main path has no Python, and only the url column is read.
 
@@ -122,7 +122,7 @@ def fit(pages: DataFrame, rules: tuple[UrlRule, ...] = RULES, sample: int = SAMP
     """Trains from the examples and the URLs that rules decide."""
     rows = _split(pages.select(F.col("url").cast("string").alias("url")))
     decided = rows.withColumn("rule", rule_of(F.col("host"), F.col("path"), rules)).withColumn("verdict", rule_of(F.col("host"), F.col("path"), rules, "verdict")).where("rule is not null")
-    decided = decided.orderBy(F.xxhash64("url"), "url").limit(sample).select("url", (F.col("verdict") == "block").cast("double").alias("bad"), "rule")
+    decided = decided.select("url", "rule", "verdict").distinct().orderBy(F.xxhash64("url"), "url").limit(sample).select("url", (F.col("verdict") == "block").cast("double").alias("bad"), "rule")
     seeds = examples(pages.sparkSession).withColumn("rule", F.lit(None).cast("string"))
     rows = _split(seeds.union(decided))
     whole = {r.text for r in rules if r.path == "/"}
