@@ -7,7 +7,10 @@ prefilter, and a group's rules only if a word of the text starts with the group'
 keyword, which every name has of its own ("gpl" and "general public").
 Every rule has a priority; a detection whose words lie within those of a
 detection with higher priority is suppressed ("apache license" within
-"licensed under the apache license version 2 0").
+"licensed under the apache license version 2 0"), as is one within a longer
+detection, or one of a smaller label in the same words, of equal priority.
+Rules name texts and headers of licences, and families by version and way of
+naming; "+" is no word, so "GPLv2+" is read as "GPLv2".
 
 The base phrases (four, with the labels of the contract) are counted at every
 place; their labels are never suppressed.
@@ -84,9 +87,73 @@ def _version(v: str) -> str:
     return rf"v?{major}(?: {minor})" + ("?" if minor == "0" else "")
 
 
+# What the texts and file headers of licences say, in their own words; keyword, words, priority, label.
+_TEXTS = [
+    ("permission is hereby", "permission is hereby granted free of charge to any person obtaining a copy", 2, "mit"),
+    ("permission is hereby", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files", 3, "mit"),
+    ("above copyright notice and this permission", "the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software", 3, "mit"),
+    ("permission is hereby", "permission is hereby granted free of charge to any person or organi[sz]ation obtaining a copy of the software and accompanying documentation", 3, "bsl-1.0"),
+    ("permission to use", "permission to use copy modify and(?: or)? distribute this software for any purpose with or without fee is hereby granted", 2, "isc"),
+    ("permission to use", "permission to use copy modify and(?: or)? distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies", 3, "isc"),
+    ("permission to use", "permission to use copy modify and(?: or)? distribute this software for any purpose with or without fee is hereby granted the software is provided as is", 4, "0bsd"),
+    ("redistribution and use", "redistribution and use in source and binary forms with or without modification", 2, "bsd"),
+    ("redistribution and use", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met", 3, "bsd"),
+    ("redistributions of source", "redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer", 3, "bsd"),
+    ("redistributions in binary", "redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer", 3, "bsd"),
+    ("nor the name", "nor the names? of (?:its|any other|the) contributors may be used to endorse or promote products derived from this software", 4, "bsd-3-clause"),
+    ("all advertising materials", "all advertising materials mentioning features or use of this software must display the following acknowledg(?:e)?ment", 4, "bsd-4-clause"),
+    ("governed by a bsd", "governed by a bsd style licen[cs]e", 2, "bsd"),
+    ("apache license", "licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license", 6, "apache-2.0"),
+    ("you may not use this file", "you may not use this file except in compliance with the license", 3, "apache-2.0"),
+    ("unless required by applicable", "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis", 4, "apache-2.0"),
+    ("apache license", "apache license version 2 0 january 2004", 5, "apache-2.0"),
+    ("apache org", "apache org licenses license 2 0", 4, "apache-2.0"),
+    ("source code form", "this source code form is subject to the terms of the mozilla public license v 2 0", 6, "mpl-2.0"),
+    ("mpl was not", "if a copy of the mpl was not distributed with this file you can obtain one at", 4, "mpl-2.0"),
+    ("mozilla org mpl", "mozilla org mpl 2 0", 4, "mpl-2.0"),
+    ("contents of this file", "the contents of this file are subject to the mozilla public license version 1 1", 6, "mpl-1.1"),
+    ("contents of this file", "the contents of this file are subject to the terms of the common development and distribution license", 4, "cddl"),
+    ("accompanying materials", "this program and the accompanying materials are made available under the terms of the eclipse public license v(?:ersion)? ?2 0", 6, "epl-2.0"),
+    ("accompanying materials", "this program and the accompanying materials are made available under the terms of the eclipse public license v(?:ersion)? ?1 0", 6, "epl-1.0"),
+    ("this font software", "this font software is licensed under the sil open font license version 1 1", 6, "ofl-1.1"),
+    ("free and unencumbered", "this is free and unencumbered software released into the public domain", 4, "unlicense"),
+    ("everyone is permitted", "everyone is permitted to copy and distribute verbatim or modified copies of this license document and changing it is allowed as long as the name is changed", 4, "wtfpl"),
+    ("everyone is permitted", "everyone is permitted to copy and distribute verbatim copies of this license document but changing it is not allowed", 2, "gpl"),
+    ("free software foundation", "gnu general public license as published by the free software foundation", 2, "gpl"),
+    ("free software foundation", "gnu lesser general public license as published by the free software foundation", 3, "lgpl"),
+    ("free software foundation", "gnu affero general public license as published by the free software foundation", 3, "agpl"),
+    ("you should have received", "you should have received a copy of the gnu general public license along with this (?:program|software|library|file)", 3, "gpl"),
+    ("you should have received", "you should have received a copy of the gnu lesser general public license along with this (?:program|software|library|file)", 3, "lgpl"),
+    ("you should have received", "you should have received a copy of the gnu affero general public license along with this (?:program|software|library|file)", 3, "agpl"),
+    ("gnu org licenses", "gnu org licenses gpl(?: 3 0)?", 2, "gpl"),
+    ("gnu org licenses", "gnu org licenses lgpl(?: 3 0)?", 2, "lgpl"),
+    ("gnu org licenses", "gnu org licenses agpl(?: 3 0)?", 2, "agpl"),
+    ("origin of this software", "the origin of this software must not be misrepresented", 3, "zlib"),
+    ("in no event will the authors", "in no event will the authors be held liable for any damages arising from the use of this software", 2, "zlib"),
+    ("waived all copyright", "has waived all copyright and related or neighbou?ring rights", 3, "cc0"),
+    ("attribution assurance", "attribution assurance licen[cs]e", 1, "aal"),
+    ("opensource org licenses", "opensource org licenses mit(?: license)?", 3, "mit"),
+    ("opensource org licenses", "opensource org licenses apache 2 0", 4, "apache-2.0"),
+    ("opensource org licenses", "opensource org licenses bsd license", 3, "bsd"),
+    ("all rights reserved", "all rights reserved", 1, "proprietary"),
+    ("confidential and proprietary", "confidential and proprietary", 1, "proprietary"),
+    ("proprietary and confidential", "proprietary and confidential", 1, "proprietary"),
+]
+
+
+def _later(n: str) -> list[str]:
+    """Words after a name that allow version ``n`` or later: "version 2 or later", and the notice's
+    "either version 2 of the License, or (at your option) any later version"."""
+    number = rf"(?:licen[cs]e )?(?:version |v )?{n}"
+    return [
+        f"{number} or (?:any |at your option any |at your option )?later(?: version)?",
+        f"(?:as published by the free software foundation )?(?:either )?version {n} of the licen[cs]e or (?:at your option )?any later version",
+    ]
+
+
 def rules() -> list[Rule]:
-    """Hundreds of signatures, from families, versions and the ways in which licences are named."""
-    out = []
+    """Hundreds of signatures: texts and headers of licences, and the products of families, versions and ways of naming."""
+    out = [Rule(*x) for x in _TEXTS]
     for label, names, versions in _FAMILIES:
         for key, some in names.items():
             out.append(Rule(key, f"(?:{some})", 1, label))
@@ -96,8 +163,11 @@ def rules() -> list[Rule]:
             full, number = f"{label}-{v}", rf"(?:licen[cs]e )?(?:version |v )?{_version(v)}"
             for key, some in names.items():
                 out.append(Rule(key, f"(?:{some}) {number}", 3, full))
-                out.append(Rule(key, f"(?:the )?(?:{some}) {number} or (?:any |\\(at your option\\) )?later(?: version)?", 4, f"{full}-or-later"))
+                out += [Rule(key, f"(?:the )?(?:{some}) {later}", 5, f"{full}-or-later") for later in _later(_version(v))]
+                out.append(Rule(key, f"(?:{some}) (?:as published by the free software foundation )?(?:either )?version {_version(v)} of the licen[cs]e", 4, full))
             out.append(Rule(label, rf"{label} {_version(v)}", 2, full))
+            out.append(Rule(f"{label}v", rf"{label}{_version(v).replace('v?', 'v')}", 3, full))
+            out.append(Rule(f"{label}v", rf"{label}{_version(v).replace('v?', 'v')} or (?:any )?later(?: version)?", 5, f"{full}-or-later"))
             out.append(Rule("spdx", f"spdx licen[cs]e identifier {label} {_version(v)}(?: only)?", 5, full))
             out.append(Rule("spdx", f"spdx licen[cs]e identifier {label} {_version(v)} or later", 6, f"{full}-or-later"))
     for parts in _CC_PARTS:
@@ -112,10 +182,7 @@ def rules() -> list[Rule]:
             out.append(Rule("creativecommons", f"creativecommons org licenses {short} {_version(v)}", 4 + more, f"cc-{parts}-{v}"))
     for n in (2, 3, 4):
         out.append(Rule("bsd", rf"(?:{n} clause bsd|bsd {n} clause)(?: licen[cs]e)?", 3, f"bsd-{n}-clause"))
-    out.append(Rule("all rights reserved", "all rights reserved", 1, "proprietary"))
-    out.append(Rule("permission is hereby", "permission is hereby granted free of charge to any person obtaining a copy", 2, "mit"))
-    out.append(Rule("redistribution and use", "redistribution and use in source and binary forms with or without modification", 2, "bsd"))
-    return out
+    return list(dict.fromkeys(out))
 
 
 _MOST_PRIORITY = 7
@@ -125,14 +192,45 @@ def _quote(s: str) -> str:
     return "r'" + s.replace("'", "''") + "'"
 
 
+def _blocks(array: str) -> str:
+    """SQL: an array in blocks of 512, so that what is appended to stays short in texts of very many places."""
+    return f"transform(array({array}), z -> transform(sequence(1, greatest(size(z), 1), 512), k -> slice(z, k, 512)))[0]"
+
+
+def _starts(regex: str) -> str:
+    """SQL: the first words of the places of a regular expression (as SQL) in ``padded``, and in front of
+    them 0 where the text does not start with one: how many words each part of the text, cut at every place, has before it."""
+    spaces = f"transform(split(padded, concat('(?= ', {regex}, ' )')), p -> CAST(length(p) - length(replace(p, ' ', '')) AS BIGINT))"
+    return f"""aggregate({_blocks(spaces)}, named_struct('at', CAST(array() AS ARRAY<ARRAY<BIGINT>>), 'n', CAST(0 AS BIGINT)),
+        (a, b) -> transform(array(aggregate(b, named_struct('at', CAST(array() AS ARRAY<BIGINT>), 'n', a.n), (x, c) -> named_struct('at', array_append(x.at, x.n), 'n', x.n + c))),
+            y -> named_struct('at', array_append(a.at, y.at), 'n', y.n))[0], a -> flatten(a.at))"""
+
+
 def _places(regex: str) -> str:
-    """SQL: the first words of the places of a regular expression in ``padded``, by cutting in front of each."""
-    parts = f"split(padded, concat(' (?=', {regex}, ' )'))"
-    words = "(length(p) - length(replace(p, ' ', '')) + 1)"
-    # the first part starts with a space (or is empty), which stands for no word
-    return f"""aggregate(transform({parts}, p -> CAST({words} AS BIGINT)),
-        named_struct('at', CAST(array() AS ARRAY<BIGINT>), 'n', CAST(-1 AS BIGINT)),
-        (a, c) -> named_struct('at', array_append(a.at, a.n + c), 'n', a.n + c), a -> slice(a.at, 1, size(a.at) - 1))"""
+    """SQL: the first words of the places of a regular expression (as SQL) in ``padded``."""
+    return f"transform(array({_starts(regex)}), at -> if(regexp_like(padded, concat('^ ', {regex}, ' ')), at, slice(at, 2, size(at))))[0]"
+
+
+def _detections(group: list[Rule]) -> str:
+    """SQL: all detections of the rules of one keyword; null where the keyword or every rule is absent from ``padded``.
+
+    Matches are taken from within a lookahead, so that they may overlap."""
+    listed = ", ".join(f"named_struct('regex', {_quote(r.regex)}, 'priority', {r.priority}, 'label', {_quote(r.label)})" for r in group)
+    matches = "regexp_extract_all(padded, concat('(?=( ', r.regex, ') )'), 1)"
+    one = f"""zip_with({_places('r.regex')}, {matches}, (f, m) -> named_struct('first', f, 'last', f + length(m) - length(replace(m, ' ', '')) - 1, 'priority', r.priority, 'label', r.label))"""
+    every = _quote(" (?:" + "|".join(dict.fromkeys(r.regex for r in group)) + ") ")
+    return f"CASE WHEN contains(padded, {_quote(' ' + group[0].key)}) AND regexp_like(padded, {every}) THEN flatten(transform(filter(array({listed}), r -> regexp_like(padded, concat(' ', r.regex, ' '))), r -> {one})) END"
+
+
+def _suppressed(column: str, kind: str) -> str:
+    """SQL: the detections not within one of higher priority, of equal priority and more words, or of the same
+    words, equal priority and a smaller label.  In order of first word (then of more words, higher
+    priority, label) what contains a detection comes before it, so each is held against those still open."""
+    order = "CASE WHEN l.first <> r.first THEN CAST(sign(l.first - r.first) AS INT) WHEN l.last <> r.last THEN CAST(sign(r.last - l.last) AS INT) WHEN l.priority <> r.priority THEN r.priority - l.priority WHEN l.label < r.label THEN -1 WHEN l.label > r.label THEN 1 ELSE 0 END"
+    beats = "e.last >= d.last AND (e.priority > d.priority OR (e.priority = d.priority AND (e.first < d.first OR e.last > d.last OR e.label <= d.label)))"
+    step = f"(x, d) -> named_struct('kept', if(exists(x.open, e -> {beats}), x.kept, array_append(x.kept, d)), 'open', array_append(filter(x.open, e -> e.last >= d.first), d))"
+    return f"""aggregate({_blocks(f'array_sort({column}, (l, r) -> {order})')}, named_struct('kept', CAST(array() AS ARRAY<{kind}>), 'open', CAST(array() AS {kind})),
+        (a, b) -> transform(array(aggregate(b, named_struct('kept', CAST(array() AS {kind}), 'open', a.open), {step})), y -> named_struct('kept', array_append(a.kept, y.kept), 'open', y.open))[0], a -> flatten(a.kept))"""
 
 
 def prefilter(keys: list[str]) -> str:
@@ -155,17 +253,11 @@ def scan(docs: DataFrame, signatures: list[Rule] | None = None) -> DataFrame:
     rows = rows.select("doc_id", n_words.cast("long").alias("n_words"), F.concat(F.lit(" "), "words", F.lit(" ")).alias("words"))
     rows = rows.select("doc_id", "n_words", F.when(F.col("words").rlike(prefilter([*keys, *BASE])), F.col("words")).alias("padded"))
     base = "array(" + ", ".join(f"named_struct('label', {_quote(label)}, 'at', {_places(_quote(phrase))})" for phrase, label in BASE.items()) + ")"
-    groups = "array(" + ", ".join(f"named_struct('key', {_quote(k)}, 'rules', array(" + ", ".join(f"named_struct('regex', {_quote(r.regex)}, 'priority', {r.priority}, 'label', {_quote(r.label)})" for r in signatures if r.key == k) + "))" for k in keys) + ")" if keys else "array()"
     rows = rows.withColumn("base", F.expr(f"CASE WHEN padded IS NOT NULL THEN {base} END"))
-    if keys:
-        found = f"flatten(transform(filter({groups}, g -> contains(padded, concat(' ', g.key))), g -> flatten(transform(filter(g.rules, r -> regexp_like(padded, concat(' ', r.regex, ' '))), r -> transform({_places('r.regex')}, s -> named_struct('first', s, 'last', s - 1 + _LEN_, 'priority', r.priority, 'label', r.label))))))"
-        tail = "substring_index(padded, ' ', -(size(split(padded, ' ')) - 1 - CAST(s AS INT)))"
-        match = f"regexp_extract({tail}, concat('^', r.regex, '(?= )'), 0)"
-        found = found.replace("_LEN_", f"(length({match}) - length(replace({match}, ' ', '')) + 1)")
-        rows = rows.withColumn("all", F.expr(f"CASE WHEN padded IS NOT NULL THEN {found} END"))
-    else:
-        rows = rows.withColumn("all", F.expr("CAST(NULL AS ARRAY<STRUCT<first: BIGINT, last: BIGINT, priority: INT, label: STRING>>)"))
-    rows = rows.withColumn("detections", F.expr("coalesce(filter(all, d -> NOT exists(all, e -> e.priority > d.priority AND e.first <= d.first AND e.last >= d.last)), array())"))
+    kind = "ARRAY<STRUCT<first: BIGINT, last: BIGINT, priority: INT, label: STRING>>"
+    found = ", ".join(_detections([r for r in signatures if r.key == k]) for k in keys)
+    rows = rows.withColumn("all", F.expr(f"CASE WHEN padded IS NOT NULL THEN flatten(filter(array(CAST(array() AS {kind}){', ' * bool(keys)}{found}), g -> g IS NOT NULL)) END"))
+    rows = rows.withColumn("detections", F.expr(f"coalesce({_suppressed('all', kind)}, CAST(array() AS {kind}))"))
     starts = F.expr("coalesce(flatten(transform(base, b -> b.at)), array())")
     mine = F.expr("coalesce(transform(filter(base, b -> size(b.at) > 0), b -> b.label), array())")
     comma = lambda c: F.array_join(F.array_sort(F.array_distinct(c)), ",")
