@@ -5,7 +5,8 @@ Texts are cut where the vocabulary's own pre-tokenizer cuts them, the
 library's model encodes each piece that is new, and its ids are kept per
 worker in a dictionary of bounded size.  Texts with characters outside the
 ranges below (where the pre-tokenizer's and Python's Unicode tables could
-differ, or normalisation could change them) are encoded whole by the library.
+differ, or normalisation could change them), or with the string of an added
+token, are encoded whole by the library.
 """
 
 from __future__ import annotations
@@ -43,7 +44,8 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
-        self.tok.encode_special_tokens = True  # their strings in a text are ordinary text
+        # a text with the string of an added token goes to the library, whatever its letters' case
+        self.added = [re.compile(re.escape(t.content), re.I).search for t in self.tok.get_added_tokens_decoder().values()]
         self.model = self.tok.model
         self.cut = re.compile(_CUTS[kind]).findall
         self.lower = kind == "word"
@@ -58,7 +60,7 @@ class Encoder:
         out, seen = [], self.seen
         get = seen.__getitem__
         for text in texts:
-            if _PLAIN.search(text):
+            if _PLAIN.search(text) or any(find(text) for find in self.added):
                 out.append(array("I", self.tok.encode(text, add_special_tokens=False).ids).tobytes())
                 continue
             pieces = self.cut(text.lower() if self.lower else text)

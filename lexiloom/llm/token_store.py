@@ -9,6 +9,8 @@ block      int      place in the shard
 first      long     ids before the block in its shard
 n_docs     int      documents in the block
 n_ids      long     ids in the block
+least      long     smallest doc_id of the block, null where it has none
+most       long     largest doc_id of the block, null where it has none
 doc_ids    binary   int64 little endian, with a bitmap of nulls in front
 ends       binary   Elias-Fano code of the documents' end offsets
 ids        binary   unsigned 16- or 32-bit little endian, ``width`` bytes each
@@ -20,6 +22,9 @@ bits of each value, packed; then a bit vector in which value i sets bit
 (value >> l) + i.  ``select`` on that vector recovers the values; every 512th
 set bit's position is stored, so that a lookup reads one short run of words
 and no table of 64-bit offsets is needed: about 2 + l bits a document.
+``fetch`` reads single documents so: of the blocks whose range of doc_ids holds
+one that is asked for (Parquet's statistics skip others), two selects and one
+slice of the ids a document; ``read_store`` reads everything.
 
 Scale: one range shuffle of the texts; a block is bounded by ``block_ids``, or
 one document where that is longer.  Of the store only one number a shard goes
@@ -43,7 +48,7 @@ from .common import map_arrow, save, shuffle_parts, slices
 from .encoding import encoder
 
 SAMPLE = 512
-_BLOCKS = "shard int, block int, first long, n_docs int, n_ids long, doc_ids binary, ends binary, ids binary, width int"
+_BLOCKS = "shard int, block int, first long, n_docs int, n_ids long, least long, most long, doc_ids binary, ends binary, ids binary, width int"
 
 
 def ef_encode(values: np.ndarray, universe: int) -> bytes:
@@ -126,9 +131,10 @@ def write_store(docs: DataFrame, tokenizer: str, kind: str, end_id: int, width:
             nonlocal block, first, names, parts, n
             ends = np.cumsum([len(p) // 4 for p in parts])
             ids = np.frombuffer(b"".join(parts), "<u4")
+            known = [x for x in names if x is not None]
             if width == 2 and len(ids) and ids.max() > 0xFFFF:
                 raise ValueError("an id needs more than 16 bits: use width 4")
-            row = {"shard": [shard], "block": [block], "first": [first], "n_docs": [len(names)], "n_ids": [n], "doc_ids": [_pack_ids(names)], "ends": [ef_encode(ends, n)], "ids": [ids.astype(dtype).tobytes()], "width": [width]}
+            row = {"shard": [shard], "block": [block], "first": [first], "n_docs": [len(names)], "n_ids": [n], "least": [min(known, default=None)], "most": [max(known, default=None)], "doc_ids": [_pack_ids(names)], "ends": [ef_encode(ends, n)], "ids": [ids.astype(dtype).tobytes()], "width": [width]}
             block, first, names, parts, n = block + 1, first + n, [], [], 0
             return row
 
@@ -150,13 +156,45 @@ def write_store(docs: DataFrame, tokenizer: str, kind: str, end_id: int, width:
     return save(map_arrow(rows, blocks, _BLOCKS), "token-store")
 
 
-def read_store(store: DataFrame) -> DataFrame:
-    """doc_id, start, n_tokens, ids (binary, unsigned 32-bit) of each document of a store."""
-    sizes = sorted((r[0], r[1]) for r in store.groupBy("shard").agg(F.sum("n_ids")).collect())  # one row a shard
+def _bases(store: DataFrame) -> dict[int, int]:
+    """Ids in front of each shard."""
     base, before = {}, 0
-    for shard, n in sizes:
+    for shard, n in sorted((r[0], r[1]) for r in store.groupBy("shard").agg(F.sum("n_ids")).collect()):  # one row a shard
         base[shard], before = before, before + n
-    bases = store.sparkSession.sparkContext.broadcast(base)
+    return base
+
+
+def fetch(store: DataFrame, doc_ids: list[int], most: int = 10_000) -> DataFrame:
+    """doc_id, start, n_tokens, ids of the documents with one of at most ``most`` doc_ids, by ``select``."""
+    if len(doc_ids) > most:
+        raise ValueError(f"more than {most} doc_ids: read the store and join")
+    wanted = sorted({int(d) for d in doc_ids})
+    bases = store.sparkSession.sparkContext.broadcast(_bases(store))
+    if not wanted:
+        return read_store(store.limit(0))
+
+    def documents(batches):
+        at = np.array(wanted, np.int64)
+        for b in slices(batches, 1):
+            low, high = (b.column(k)[0].as_py() for k in ("least", "most"))
+            here = set(at[np.searchsorted(at, low) : np.searchsorted(at, high, side="right")].tolist())
+            if not here:
+                continue
+            ends, size = EliasFano(b.column("ends")[0].as_py()), b.column("width")[0].as_py()
+            ids = np.frombuffer(b.column("ids")[0].as_py(), {2: "<u2", 4: "<u4"}[size])
+            before = bases.value[b.column("shard")[0].as_py()] + b.column("first")[0].as_py()
+            for i, d in enumerate(_unpack_ids(b.column("doc_ids")[0].as_py(), b.column("n_docs")[0].as_py())):
+                if d in here:
+                    s, e = ends.select(i - 1) if i else 0, ends.select(i)
+                    yield {"doc_id": [d], "start": [before + s], "n_tokens": [e - s], "ids": [ids[s:e].astype("<u4").tobytes()]}
+
+    near = store.where((F.col("most") >= wanted[0]) & (F.col("least") <= wanted[-1]))
+    return map_arrow(near, documents, "doc_id long, start long, n_tokens long, ids binary")
+
+
+def read_store(store: DataFrame) -> DataFrame:
+    """doc_id, start, n_tokens, ids (binary, unsigned 32-bit) of each document of a store."""
+    bases = store.sparkSession.sparkContext.broadcast(_bases(store))
 
     def documents(batches):
         for b in slices(batches, 1):

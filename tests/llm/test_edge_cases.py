@@ -17,7 +17,6 @@ WORD_BPE, BYTE_BPE = public_tokenizers.path("word_bpe_49k.json"), public_tokeniz
 
 def library(path):
     t = Tokenizer.from_file(path)
-    t.encode_special_tokens = True
     return t
 
 
@@ -57,6 +56,11 @@ def test_token_store_round_trip(odd):
     for r in sorted(rows, key=lambda r: r["start"]):
         assert r["start"] == at
         at += r["n_tokens"]
+    store = token_store.write_store(odd, WORD_BPE, "word", 2, block_ids=500)
+    whole = {(r["doc_id"], r["start"]): r for r in token_store.read_store(store).collect()}
+    some = token_store.fetch(store, [2, 7, 12, 999]).collect()
+    assert Counter(r["doc_id"] for r in some) == {2: 2, 7: 1, 12: 2} and all(whole[r["doc_id"], r["start"]] == r for r in some)
+    assert token_store.fetch(store, []).count() == 0
     order = [r["doc_id"] for r in sorted(rows, key=lambda r: r["start"])]
     assert order == sorted(order, key=lambda d: (d is not None, d or 0))
 
