@@ -2,11 +2,62 @@ from lexiloom.llm import toxicity, url_filter
 
 
 def test_repeated_urls_do_not_change_what_is_learned(spark):
-    pages = spark.range(120).selectExpr("id AS page_id", "concat('http://', if(id % 2 = 0, 'a.org/fr/', 'b.net/en/'), id, if(id % 3 = 0, '?a=1&b=2', '')) AS url")
-    more = pages.crossJoin(spark.range(30)).select("page_id", "url")
-    once, often = (url_filter.fit(p, sample=40) for p in (pages, more))
+    labelled = url_filter.examples(spark)
+    more = labelled.crossJoin(spark.range(30)).select("url", "bad").union(spark.createDataFrame([(None, 1.0), ("http://x.y/", None)], "url string, bad double"))
+    pages = labelled.selectExpr("crc32(url) AS page_id", "url")
+    once, often = (url_filter.fit(p) for p in (labelled, more.repartition(5)))
     score = lambda model: sorted((r["page_id"], r["bad_score"]) for r in url_filter.judge(pages, model=model).collect())
-    assert once.suffixes == often.suffixes and score(once) == score(often)
+    assert once.suffixes == often.suffixes and once.words == often.words and score(once) == score(often)
+
+
+def test_urls_held_out_from_training(spark):
+    rows = url_filter.held_out_scores(url_filter.examples(spark))
+    blocked = [bad for _, bad, p in rows if p >= url_filter.LIMIT]
+    assert len(rows) > 140 and sum(blocked) >= 0.93 * len(blocked) and sum(blocked) >= 0.93 * sum(bad for _, bad, _ in rows)
+
+
+def test_no_labels_or_one_kind_give_one_score(spark):
+    pages = spark.createDataFrame([(1, "http://a.org/b"), (2, None)], "page_id long, url string")
+    for rows in ([], [("http://a.org/", 0.0)]):
+        model = url_filter.fit(spark.createDataFrame(rows, "url string, bad double"))
+        assert len({r["bad_score"] for r in url_filter.judge(pages, model=model).collect()}) == 1
+
+
+def test_url_scores_against_a_plain_reading(spark):
+    """Every feature computed anew in Python; verdicts turn on words, suffix, digits and parameters, not on one of them alone."""
+    import re
+
+    import numpy as np
+
+    model = url_filter.fit(url_filter.examples(spark))
+    urls = {
+        "https://tulips.example.com/en/12": 0, "http://cheap-pills.example.com/en/12": 1, "https://free-bets.example.org/de/7?page=2&ref=x": 1, "https://old-mill.example.com/en/12": 0, "http://10.1.2.3/a/b?x=1&y=2&z=3&w=4": 1,
+        "http://77889912.zz/%41%42?a=1&b=2&c=3": 1, "https://www.uni.edu/law/title?page=2": 0, "http://casino.example.com/en/3": 1, "HTTP://Spam.Example.com/EN/": 1, "": 0, "no scheme": 0, "https://日本.jp/#top": 0, "https://blog.tioner.example.com/es/978?utm_source=feed": 0,
+    }
+    pages = spark.createDataFrame([(k, u, "x", 1.0) for k, u in enumerate(urls)], "page_id long, url string, host string, words double")
+    got = {r["page_id"]: r for r in url_filter.judge(pages, rules=(), model=model).collect()}
+    turned = set()
+    for k, u in enumerate(urls):
+        rest = u.split("://", 1)[1] if "://" in u else ""
+        host = re.match(r"[^/?#]*", rest).group().translate(str.maketrans(url_filter._UPPER, url_filter._LOWER))
+        path = re.match(r"[^/?#]*([^?#]*)", rest).group(1)
+        tail, n = re.match(r"(?s)[^?#]*(.*)$", rest).group(1), max(len(u), 1)
+        share = [u.lower().count(c) / n for c in url_filter._SYMBOLS]
+        digits = lambda x: len(re.findall("[0-9]", x))
+        plain = [len(u), len(host), len(path), path.count("/"), host.count("."), digits(u) / n, digits(host), -sum(p * np.log2(p) for p in share if p), tail.count("&") + tail.startswith("?"), len(tail), host.count("-"), tail.count("#"), u.count("%")]
+        words = [model.words.get(w, 0.0) for w in dict.fromkeys(re.findall("[a-z]{3,}", re.sub(r"[^.]*$", "", host) + "/" + path.lower()))]
+        x = np.array([plain + [model.suffixes.get(host.rsplit(".", 1)[-1], 0.0), sum(words), max([0.0, *words])]])
+        margin = lambda x: 1 / (1 + np.exp(-model.trees.margin(x)[0]))
+        assert abs(got[k]["bad_score"] - margin(x)) < 1e-9, u
+        if k not in (9, 10, 11):
+            assert got[k]["verdict"] == ("block" if urls[u] else "allow"), (u, got[k]["bad_score"])
+        for f in range(len(url_filter.FEATURES)):
+            for v in (0.0, 1.0, 3.0, 6.0, -2.0, 30.0):
+                y = x.copy()
+                y[0, f] = v
+                if (margin(y) >= url_filter.LIMIT) != (margin(x) >= url_filter.LIMIT):
+                    turned.add(url_filter.FEATURES[f])
+    assert len(turned) >= 3, turned
 
 
 def test_repeated_documents_do_not_change_what_is_learned(spark):
