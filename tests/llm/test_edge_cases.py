@@ -231,11 +231,12 @@ def test_vector_search_cases(spark):
     assert sorted(got) == [(0, 1, 4, 20480), (0, 1, 4, 20480), (0, 2, 5, 20480), (0, 2, 5, 20480)]
 
 
-def test_vector_search_against_brute_force(tables):
+@pytest.mark.parametrize("block,scale", [(16384, 64.0), (7, 3000.0)])
+def test_vector_search_against_brute_force(tables, block, scale):
     df = tables("embeddings")
-    rows = {r["vec_id"]: np.floor(64 * np.array(r["embedding"], np.float64)).astype(int) for r in df.collect()}
+    rows = {r["vec_id"]: np.floor(scale * np.array(r["embedding"], np.float64)).astype(int) for r in df.collect()}
     got = defaultdict(list)
-    for r in vafile.top_k(df, F.col("vec_id") % 20 == 0, query_block=7).collect():
+    for r in vafile.top_k(df, F.col("vec_id") % 20 == 0, query_block=block, scale=scale).collect():
         got[r["query_id"]].append((r["rank"], r["vec_id"], r["score"]))
     for q, v in rows.items():
         if q % 20 == 0:
