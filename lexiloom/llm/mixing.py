@@ -12,21 +12,25 @@ the cumulative weights of the sources (weights in blocks), to one source;
 slots are ranked per source, and the slot of rank r takes block r modulo the
 source's blocks, so a source is repeated only when its stream is used up.
 Ranks beyond a source's target are skipped and the few ranks that the points
-leave short are appended, so each source takes its target to the word; the
-last slot takes a part of its block.
+leave short are put where an even spread has them, so each source takes its
+target to the word; the last slot takes a part of its block.  ``mixed`` gives
+the documents with the slot of the block that each copy begins in, and
+``mixed_documents`` lays them out by slot, so that any stretch of the output
+has its sources in proportion.
 
 Scale: the texts are read once and give a narrow table of sizes.  Streams are
 laid out in two steps: words by (source, hash range), with as many ranges as
 four times the shuffle partitions, then running sums within each range, so a
 source with a third of all rows is spread over all tasks.  The schedule is
-generated in chunks, ranked the same way, and summed by block before it meets
-the documents.  The driver gets one row a source (an error beyond
+generated in chunks, ranked the same way, written once, and summed by block before it meets
+the documents.  Laid out by slot, ranges of slots are dealt to tasks by hash and sorted there.  The driver gets one row a source (an error beyond
 ``max_sources``).
 
 Cases: a null or empty text has no words, takes nothing and is returned;
 repeated rows are entries of their own; a null source is the last; a null
 doc_id hashes as the empty text; an empty table gives no rows; other columns
-are ignored by ``mix`` and kept by ``mixed_documents``.
+are ignored by ``mix`` and kept by ``mixed`` and ``mixed_documents``; documents
+without words have slot 0.
 """
 
 from __future__ import annotations
@@ -150,7 +154,8 @@ def schedule(spark, p: Plan) -> DataFrame:
     have = counted.groupBy("s").agg(F.sum("n").alias("n"))
     info = spark.createDataFrame([(k, p.sizes[k], p.blocks[k], p.take[k], p.slots[k]) for k in range(len(p.names))] or [(0, 0, 1, 0, 0)], "s int, size_s long, blocks long, take_s long, need long")
     short = info.join(have, "s", "left").withColumn("n", F.coalesce("n", F.lit(0))).where("n < need")
-    added = short.select(F.lit(None).cast("long").alias("slot"), "s", F.explode(F.sequence(F.col("n"), F.col("need") - 1)).alias("rank"))
+    added = short.select("s", "need", F.explode(F.sequence(F.col("n"), F.col("need") - 1)).alias("rank"))
+    added = added.select(F.expr(f"CAST((2 * rank + 1) * {p.length}D / (2 * need) AS BIGINT)").alias("slot"), "s", "rank")
     out = ranked.union(added).join(F.broadcast(info), "s").where("rank < need")
     k = F.col("rank") % F.col("blocks")
     lo, hi = F.expr("(rank % blocks) * size_s div blocks"), F.expr("(rank % blocks + 1) * size_s div blocks")
@@ -158,8 +163,8 @@ def schedule(spark, p: Plan) -> DataFrame:
     return out.select("slot", "s", "rank", k.alias("block"), lo.alias("lo"), F.least(hi, left).alias("hi"))
 
 
-def taken(docs: DataFrame) -> tuple[DataFrame, Plan]:
-    """uid, doc_id, source, size, s, taken of every row, through schedule and blocks."""
+def taken(docs: DataFrame) -> tuple[DataFrame, Plan, DataFrame]:
+    """uid, doc_id, source, size, s, start, taken of every row, through schedule and blocks; and plan and schedule."""
     spark = docs.sparkSession
     sizes = save(_sizes(docs), "sizes")
     p = plan(sizes)
@@ -169,29 +174,55 @@ def taken(docs: DataFrame) -> tuple[DataFrame, Plan]:
     at = placed.where("size > 0").join(F.broadcast(info), "s")
     first, last = F.expr("((start + 1) * blocks - 1) div size_s"), F.expr("((start + size) * blocks - 1) div size_s")
     parts = at.select("uid", "s", "start", "size", F.explode(F.sequence(first, last)).alias("block"))
-    uses = schedule(spark, p).groupBy("s", "block", "lo", "hi").agg(F.count("*").alias("uses"))
+    slots = save(schedule(spark, p), "schedule")
+    uses = slots.groupBy("s", "block", "lo", "hi").agg(F.count("*").alias("uses"))
     words = F.greatest(F.lit(0), F.least(F.col("hi"), F.col("start") + F.col("size")) - F.greatest("lo", "start")) * F.col("uses")
     got = parts.join(uses, ["s", "block"]).groupBy("uid").agg(F.sum(words).alias("taken"))
-    return placed.join(got, "uid", "left").withColumn("taken", F.coalesce("taken", F.lit(0)).cast("long")), p
+    return placed.join(got, "uid", "left").withColumn("taken", F.coalesce("taken", F.lit(0)).cast("long")), p, slots
 
 
 def mix(docs: DataFrame) -> DataFrame:
     """doc_id, size, source_size, target, taken of every row."""
-    rows, p = taken(docs)
+    rows, p, _ = taken(docs)
     info = docs.sparkSession.createDataFrame([(k, p.sizes[k], p.targets[k]) for k in range(len(p.names))] or [(0, 0, 0.0)], "s int, source_size long, target double")
     return rows.join(F.broadcast(info), "s").select("doc_id", "size", "source_size", "target", "taken")
 
 
-def mixed_documents(docs: DataFrame) -> DataFrame:
-    """The documents of the mix: each as often as it is taken, a part of a document rounded to
-    the nearest whole.  Documents without words stay, once."""
-    rows, _ = taken(docs)
-    copies = F.when(F.col("size") == 0, 1).otherwise(F.floor((2 * F.col("taken") + F.col("size")) / (2 * F.col("size"))))
-    counts = rows.select("doc_id", "source", "size", copies.cast("int").alias("n"))
+def _copies(docs: DataFrame) -> tuple[DataFrame, int]:
+    """doc_id, source, size and the slots of the copies (a part of a document rounded to the nearest whole) of
+    every row that is taken; and the schedule's length."""
+    rows, p, slots = taken(docs)
+    n = F.when(F.col("size") == 0, 1).otherwise(F.floor((2 * F.col("taken") + F.col("size")) / (2 * F.col("size")))).cast("int")
+    info = docs.sparkSession.createDataFrame([(k, p.sizes[k], p.blocks[k]) for k in range(len(p.names))] or [(0, 0, 1)], "s int, size_s long, blocks long")
+    rows = rows.withColumn("n", n).where("n > 0").join(F.broadcast(info), "s")
+    # copy e of a document begins in the block of its first word, at rank e * blocks + block
+    block = F.expr("if(size_s = 0, 0, ((start + 1) * blocks - 1) div size_s)")
+    each = rows.select("uid", "doc_id", "source", "size", "s", block.alias("block"), "blocks", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("e"))
+    each = each.withColumn("rank", F.col("e") * F.col("blocks") + F.col("block"))
+    each = each.join(slots.select("s", "rank", "slot"), ["s", "rank"], "left")
+    return each.groupBy("uid", "doc_id", "source", "size").agg(F.sort_array(F.collect_list(F.coalesce("slot", F.lit(0)))).alias("slots")), p.length
+
+
+def mixed(docs: DataFrame) -> DataFrame:
+    """The documents of the mix, each as often as it is taken, with ``slot``.  Documents without words stay, once."""
+    return _mixed(docs)[0].select(*docs.columns, F.col("__slot").alias("slot"))
+
+
+def _mixed(docs: DataFrame) -> tuple[DataFrame, int]:
+    copies, length = _copies(docs)
     key = ["doc_id", "source", "size"]
-    counts = counts.groupBy(*(F.col(c).alias(f"__{c}") for c in key)).agg(F.sort_array(F.collect_list("n"), False).alias("__n"))
+    # rows of one key: more copies go to the smaller texts
+    counts = copies.groupBy(*(F.col(c).alias(f"__{c}") for c in key)).agg(F.sort_array(F.collect_list(F.struct((-F.size("slots")).alias("n"), "slots"))).alias("__n"))
     order = Window.partitionBy("doc_id", "__src", "__words").orderBy("text")
     out = docs.withColumn("__src", F.col("source").cast("string")).withColumn("__words", word_count(F.col("text").cast("string"))).withColumn("__nth", F.row_number().over(order))
     on = F.col("doc_id").cast("long").eqNullSafe(F.col("__doc_id")) & F.col("__src").eqNullSafe(F.col("__source")) & (F.col("__words") == F.col("__size"))
-    out = out.join(counts, on).withColumn("__copies", F.element_at("__n", F.col("__nth")))
-    return out.where("__copies > 0").withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(*docs.columns)
+    out = out.join(counts, on).where(F.col("__nth") <= F.size("__n"))
+    return out.withColumn("__slot", F.explode(F.element_at("__n", F.col("__nth"))["slots"])), length
+
+
+def mixed_documents(docs: DataFrame) -> DataFrame:
+    """The documents of the mix as rows like ``docs``, laid out by slot: every task has ranges of the schedule, in order."""
+    rows, length = _mixed(docs)
+    ranges = 4 * shuffle_parts(docs.sparkSession)
+    rows = rows.withColumn("__range", F.expr(f"CAST(__slot * {ranges} div {max(1, length)} AS INT)"))
+    return rows.repartition(shuffle_parts(docs.sparkSession), "__range").sortWithinPartitions("__slot", "__src", "doc_id").select(*docs.columns)

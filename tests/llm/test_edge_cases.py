@@ -118,6 +118,26 @@ def test_mix_meets_targets_and_reruns_agree(odd, tables):
             assert abs(n - groups * target[s]) <= groups
 
 
+def test_mix_is_laid_out_by_the_points(spark, tables, odd):
+    docs = tables("documents")
+    rows, p, slots = mixing.taken(docs)
+    slots = slots.collect()
+    assert Counter(r["s"] for r in slots) == Counter(dict(enumerate(p.slots)))
+    phi = 2654435769
+    edges = [sum(p.slots[: k + 1]) * 2**32 // p.length for k in range(len(p.slots))]
+    by_points = {(r["slot"], r["s"]) for r in slots}
+    hits = sum((i, next(k for k, e in enumerate(edges) if i * phi % 2**32 < e)) in by_points for i in range(p.length))
+    assert hits >= 0.97 * p.length  # all but the ranks beyond a source's target
+    for s in range(len(p.slots)):  # any prefix has the sources in proportion
+        mine = sorted(r["slot"] for r in slots if r["s"] == s)
+        assert all(abs(k - at * p.slots[s] / p.length) <= 4 for k, at in enumerate(mine))
+    out = mixing.mixed(docs).collect()
+    assert Counter((r["doc_id"], r["text"]) for r in out) == Counter((r["doc_id"], r["text"]) for r in mixing.mixed_documents(docs).collect())
+    assert len({r["slot"] for r in out}) > len(out) // 4 and max(r["slot"] for r in out) < p.length
+    taken = Counter(r["doc_id"] for r in mixing.mixed(odd).collect())
+    assert set(taken) <= {r["doc_id"] for r in odd.collect()}
+
+
 def test_targets_share_the_excess_again():
     assert mixing.targets([10, 100, 100], [5, 2, 1]) == [30.0, 120.0, 60.0]
     assert mixing.targets([0, 10], [5, 2]) == [0.0, 10.0]
