@@ -8,7 +8,8 @@ sequence, and a rest shorter than the window.  The rests of a packing group
 2. shallow combinations of at most three lengths that fill the window exactly;
 3. non-negative least squares for how often each combination is repeated, so
    that the combinations use up the histogram;
-4. counts rounded down (never using a length more often than it occurs);
+4. counts rounded up, then held to what is left of each length, in order of size;
+   1 to 4 are repeated on what remains until no combination fits it or a round places little;
 5. what remains is packed greedily, longest first, each gap filled by the
    longest rest that fits or, failing that, by cutting the next one.
 
@@ -41,8 +42,8 @@ _PIECES = "doc_id long, start long, length long, ids binary, doc_tokens long, se
 
 def combinations(lengths: np.ndarray, counts: np.ndarray, window: int, most: int = 1024) -> list[tuple[int, ...]]:
     """Pairs and triples of occurring lengths whose sum is the window, in order
-    of how often they could be used; at most ``most`` (a bound on the solver's
-    size, not on what is packed: the rest is packed greedily)."""
+    of how often they could be used; at most ``most`` (a bound on the size of one round of
+    the solver, not on what is packed: later rounds see what is left)."""
     have = {int(a): int(c) for a, c in zip(lengths, counts)}
     found = []
     for a in have:
@@ -84,6 +85,33 @@ def nnls(a: np.ndarray, b: np.ndarray, rounds: int = 300) -> np.ndarray:
     return x
 
 
+def solve(values: np.ndarray, counts: np.ndarray, window: int, rounds: int = 16) -> list[tuple[tuple[int, ...], int]]:
+    """Combinations and how often each is used, by rounds of least squares on the histogram that is left."""
+    left, out = {int(v): int(n) for v, n in zip(values, counts)}, []
+    for _ in range(rounds):
+        have = np.array([v for v, n in left.items() if n], np.int64)
+        number = np.array([left[int(v)] for v in have], np.int64)
+        combos = combinations(have, number, window)
+        if not combos:
+            break
+        row = {int(v): k for k, v in enumerate(have)}
+        a = np.zeros((len(have), len(combos)))
+        for j, c in enumerate(combos):
+            for x in c:
+                a[row[x], j] += 1
+        used, before = 0, sum(left.values())
+        for c, n in sorted(zip(combos, np.ceil(nnls(a, number.astype(float)) - 0.01)), key=lambda z: -z[1]):
+            n = min(int(n), *(left[x] // c.count(x) for x in c))
+            if n > 0:
+                out.append((c, n))
+                for x in c:
+                    left[x] -= n
+                used += n * len(c)
+        if used < before // 50:
+            break
+    return out
+
+
 def plan(lengths: list[int], window: int) -> list[list[tuple[int, int, int]]]:
     """Sequences of (index of the rest, first id, ids) that hold every rest."""
     size = np.asarray(lengths, np.int64)
@@ -94,15 +122,8 @@ def plan(lengths: list[int], window: int) -> list[list[tuple[int, int, int]]]:
         ids.reverse()
     values = np.array(sorted(bins), np.int64)
     counts = np.array([len(bins[int(v)]) for v in values], np.int64)
-    combos = combinations(values, counts, window)
-    row = {int(v): k for k, v in enumerate(values)}
-    a = np.zeros((len(values), len(combos)))
-    for j, c in enumerate(combos):
-        for x in c:
-            a[row[x], j] += 1
     out: list[list[tuple[int, int, int]]] = []
-    for c, n in sorted(zip(combos, np.floor(nnls(a, counts.astype(float)) + 1e-6)), key=lambda z: -z[1]):
-        n = min(int(n), *(len(bins[x]) // c.count(x) for x in c))
+    for c, n in solve(values, counts, window):
         out += [[(bins[x].pop(), 0, x) for x in c] for _ in range(n)]
     # greedy: (length, index, first id), longest first
     import bisect

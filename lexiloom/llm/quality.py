@@ -18,7 +18,7 @@ sends counts of words by language, summed by task in parts of at most
 a language (an error beyond ``max_languages`` languages).
 
 Cases: a null or empty text has no words and fails the base rules; a null lang
-is a language of its own; a language without reference rejects nothing;
+counts as the empty one; a language without reference rejects nothing;
 repeated rows are judged each; an empty table gives no rows; further columns
 are ignored by ``judge`` and kept by ``keep``.
 """
@@ -136,8 +136,10 @@ def references(docs: DataFrame, max_languages: int = 10_000) -> dict[str, dict]:
         yield from out()
 
     sums = map_arrow(_rows(docs), count, "lang string, key string, n long").groupBy("lang", "key").agg(F.sum("n").alias("n"))
-    by = Window.partitionBy("lang", "word").orderBy(F.desc("n"), "key")
-    top = sums.withColumn("word", F.col("key").startswith("w")).withColumn("r", F.row_number().over(by)).where(F.col("r") <= max(TOP, N_CLASSES + 1))
+    # ranked by task first: the limit by rank is on words alone, so that it is applied before the exchange
+    by = Window.partitionBy("lang").orderBy(F.desc("n"), "key")
+    words = sums.where(F.col("key").startswith("w")).withColumn("r", F.row_number().over(by)).where(F.col("r") <= TOP)
+    top = words.select("lang", "key", "n").union(sums.where(~F.col("key").startswith("w")))
     out: dict[str, dict] = {}
     for r in top.select("lang", "key", "n").limit(max_languages * (TOP + N_CLASSES + 1) + 1).collect():
         out.setdefault(r["lang"], {})[r["key"]] = r["n"]
