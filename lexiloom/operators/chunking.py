@@ -59,6 +59,11 @@ def _meta(**fields: Column) -> Column:
     return F.map_filter(pairs, lambda k, v: v.isNotNull() & (v != ""))
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is computed once: inside higher-order functions Catalyst shares no expressions."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def _cut(text: Column, mark: str) -> Column:
     """Pieces of a text, cut in front of each line that matches, stripped, without blank ones."""
     return F.filter(F.transform(F.split(text, rf"(?m)(?={mark})", -1), strip), lambda p: p != "")
@@ -95,15 +100,14 @@ def sub_split(text: Column, limit: int) -> Column:
         tokens = F.regexp_extract_all(s, F.lit(r"(?:\w+|[^\w\s])\s*"), 0)
         return F.transform(F.sequence(F.lit(0), F.floor((F.size(tokens) - 1) / limit).cast("int")), lambda i: strip(F.array_join(F.slice(tokens, i * limit + 1, F.lit(limit)), "")))
 
-    parts = F.flatten(F.transform(sentences, lambda s: F.when(token_count(s) <= limit, F.array(s)).otherwise(windows(s))))
+    sized = lambda s, n: F.struct(s.alias("text"), n.alias("n"))
+    parts = F.flatten(F.transform(sentences, lambda s: let(token_count(s), lambda n: F.when(n <= limit, F.array(sized(s, n))).otherwise(F.transform(windows(s), lambda w: sized(w, token_count(w)))))))
     state = lambda out, cur, n: F.struct(out.alias("out"), cur.alias("cur"), n.alias("n"))
 
     def step(acc: Column, s: Column) -> Column:
-        n = token_count(s)
-        first = acc["n"] == 0
-        joined = F.when(first, s).otherwise(F.concat(acc["cur"], F.lit(" "), s))
-        fits = acc["n"] + n <= limit
-        return F.when(first | fits, state(acc["out"], joined, acc["n"] + n)).otherwise(state(F.array_append(acc["out"], acc["cur"]), s, n))
+        joined = F.when(acc["n"] == 0, s["text"]).otherwise(F.concat(acc["cur"], F.lit(" "), s["text"]))
+        fits = (acc["n"] == 0) | (acc["n"] + s["n"] <= limit)
+        return F.when(fits, state(acc["out"], joined, acc["n"] + s["n"])).otherwise(state(F.array_append(acc["out"], acc["cur"]), s["text"], s["n"]))
 
     start = state(F.array().cast("array<string>"), F.lit(""), F.lit(0))
     return F.aggregate(parts, start, step, lambda acc: F.when(acc["n"] > 0, F.array_append(acc["out"], acc["cur"])).otherwise(acc["out"]))
@@ -111,23 +115,24 @@ def sub_split(text: Column, limit: int) -> Column:
 
 def _glued(text: Column, mark: str) -> Column:
     """Pieces at the marks, what precedes the first glued to it; empty with fewer than two marks."""
-    parts = _cut(text, mark)
-    n = F.size(F.filter(parts, lambda p: _marked(p, mark)))
-    first = F.get(parts, F.lit(0))
-    whole = F.when(_marked(first, mark), parts).otherwise(F.concat(F.array(F.concat(first, F.lit("\n\n"), F.get(parts, F.lit(1)))), F.slice(parts, 3, 1_000_000)))
-    return F.when(n >= 2, whole).otherwise(F.array().cast("array<string>"))
+
+    def glued(parts: Column) -> Column:
+        first = F.get(parts, F.lit(0))
+        whole = F.when(_marked(first, mark), parts).otherwise(F.concat(F.array(F.concat(first, F.lit("\n\n"), F.get(parts, F.lit(1)))), F.slice(parts, 3, 1_000_000)))
+        return F.when(F.size(F.filter(parts, lambda p: _marked(p, mark))) >= 2, whole).otherwise(F.array().cast("array<string>"))
+
+    return let(_cut(text, mark), glued)
 
 
 def _pieces(text: Column, limit: int, mark: str | None, name: Callable[[Column], Column], base: Column) -> Column:
     """array of (id, text): whole (id null), by subsections named by their place, or by size."""
     pair = lambda i, t: F.struct(i.cast("string").alias("id"), t.alias("text"))
     parts = lambda t, b: F.transform(sub_split(t, limit), lambda p, j: pair(F.concat(b, F.lit("_part"), (j + 1).cast("string")), p))
-    out = F.when(token_count(text) <= limit, F.array(pair(_null(), text)))
+    smaller = parts(text, base)
     if mark:
-        subs = _glued(text, mark)
-        by = F.flatten(F.transform(subs, lambda t, k: F.when(token_count(t) <= limit, F.array(pair(name(k), t))).otherwise(parts(t, name(k)))))
-        out = out.when(F.size(subs) >= 2, by)
-    return out.otherwise(parts(text, base))
+        by = lambda subs: F.flatten(F.transform(subs, lambda t, k: F.when(token_count(t) <= limit, F.array(pair(name(k), t))).otherwise(parts(t, name(k)))))
+        smaller = let(_glued(text, mark), lambda subs: F.when(F.size(subs) >= 2, by(subs)).otherwise(parts(text, base)))
+    return F.when(token_count(text) <= limit, F.array(pair(_null(), text))).otherwise(smaller)
 
 
 _NUMBERED = r"^[ \t]*\(\d+\)"
@@ -166,28 +171,30 @@ _EFFECTIVE = r"(?i)effective\s+(\d{1,2}/\d{1,2}/\d{2,4})"
 
 def wac(text: Column, filename: Column, limit: int = CHUNK_TOKENS["WAC"]) -> Column:
     """Administrative code: sections with their statutory authority and the Part they stand under."""
-    pieces = F.split(text, rf"(?m)(?={WAC_HEADER})", -1)
-    marked = F.filter(pieces, lambda p: _marked(p, WAC_HEADER))
-    # the Part in force in front of each piece: the last one of any earlier piece
-    own = F.transform(pieces, lambda p: F.try_element_at(F.regexp_extract_all(p, F.lit(_PART), 1), F.lit(-1)))
-
-    def carried(i: Column) -> Column:
-        return F.aggregate(F.slice(own, F.lit(1), i), _null(), lambda a, x: F.coalesce(x, a))
 
-    def section(p: Column, i: Column) -> Column:
-        number, s, part = _group(p, WAC_HEADER, 1), strip(p), strip(carried(i))
+    def carried(pieces: Column) -> Column:
+        """The Part in force in front of each piece: the last one of any earlier piece."""
+        own = F.transform(pieces, lambda p: F.try_element_at(F.regexp_extract_all(p, F.lit(_PART), 1), F.lit(-1)))
+        state = lambda out, part: F.struct(out.alias("out"), part.alias("part"))
+        return F.aggregate(own, state(F.array().cast("array<string>"), _null()), lambda a, x: state(F.array_append(a["out"], a["part"]), F.coalesce(x, a["part"])), lambda a: a["out"])
 
+    def section(p: Column, number: Column, part: Column) -> Column:
         def one(x: Column) -> Column:
-            block = F.regexp_extract(x["text"], _AUTHORITY_BLOCK, 0)
-            return _chunk(
+            return let(F.regexp_extract(x["text"], _AUTHORITY_BLOCK, 0), lambda block: _chunk(
                 x["text"], citation=F.concat(F.lit("WAC "), number), section_number=number, section_title=_title(_group(p, WAC_HEADER, 2)), subsection_id=x["id"],
                 parent_section=F.coalesce(part, F.concat(F.lit("WAC "), F.substring_index(number, "-", 2))), effective_date=_some(F.regexp_extract(block, _EFFECTIVE, 1)),
                 metadata=_meta(statutory_authority=F.regexp_extract(block, _BLOCK_RCW, 0), part_group=part),
-            )
+            ))
 
-        return F.when(_marked(p, WAC_HEADER), F.transform(_pieces(s, limit, _NUMBERED, _by_number(number), number), one)).otherwise(F.array().cast(CHUNKS))
+        return F.transform(let(strip(p), lambda s: _pieces(s, limit, _NUMBERED, _by_number(number), number)), one)
 
-    return _or_fallback(text, marked, F.flatten(F.transform(pieces, section)), limit)
+    def sections(pieces: Column) -> Column:
+        found = lambda parts: F.transform(pieces, lambda p, i: F.when(_marked(p, WAC_HEADER), let(_group(p, WAC_HEADER, 1), lambda number: section(p, number, strip(F.element_at(parts, i + 1))))).otherwise(F.array().cast(CHUNKS)))
+        return F.flatten(let(carried(pieces), found))
+
+    pieces = F.split(text, rf"(?m)(?={WAC_HEADER})", -1)
+    marked = F.filter(pieces, lambda p: _marked(p, WAC_HEADER))
+    return _or_fallback(text, marked, let(pieces, sections), limit)
 
 
 _RCW_NUMBER = r"\d{1,2}[A-Z]?\.\d{1,3}[A-Z]?[.-]\d{3,4}"

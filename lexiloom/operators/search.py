@@ -91,8 +91,8 @@ def index_text(chunks: DataFrame) -> TextIndex:
     return TextIndex(postings, lengths)
 
 
-def _frequency(term: str) -> Column:
-    return F.size(F.filter("words", lambda w: w == term))
+def _frequency(words: Column, term: str) -> Column:
+    return F.size(F.filter(words, lambda w: w == term))
 
 
 def bm25_topk(chunks: DataFrame, query: str, k: int = BM25_K, agencies: list[str] | None = None, valid: list[str] | None = None) -> DataFrame:
@@ -106,7 +106,9 @@ def bm25_topk(chunks: DataFrame, query: str, k: int = BM25_K, agencies: list[str
     rows = agency_filter(chunks, agencies, valid).select("id", terms(F.col("text")).alias("words"))
     if not wanted:
         return rows.select("id", F.lit(0.0).alias("score")).where(F.lit(False))
-    rows = rows.select("id", F.size("words").alias("length"), *[_frequency(t).alias(f"tf{i}") for i, t in enumerate(wanted)])
+    # the words of a text are found once, and what the query needs of them is counted there
+    counts = F.transform(F.array("words"), lambda ws: F.struct(F.size(ws).alias("length"), *[_frequency(ws, t).alias(f"tf{i}") for i, t in enumerate(wanted)]))
+    rows = rows.select("id", F.get(counts, F.lit(0)).alias("c")).select("id", "c.*")
     stats = rows.agg(F.count("*").alias("n"), F.avg("length").alias("mean"), *[F.count_if(F.col(f"tf{i}") > 0).alias(f"df{i}") for i in range(len(wanted))])
     scored = rows.crossJoin(F.broadcast(stats))  # one row of statistics
     score = F.lit(0.0)
