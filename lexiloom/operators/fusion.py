@@ -44,3 +44,16 @@ def union_seeds(*lists: DataFrame) -> DataFrame:
         one = one.select("id", F.struct(F.lit(n).alias("list"), F.col("pos").alias("pos")).alias("at"))
         rows = one if rows is None else rows.union(one)
     return rows.groupBy("id").agg(F.min("at").alias("at")).select("id", "at.list", "at.pos")
+
+
+def with_score(rows: DataFrame, distance: str | None = None, default: float = 0.5) -> DataFrame:
+    """``score`` of search results: one less the distance, or the score they have; ``default`` where neither is there."""
+    known = F.lit(1.0) - F.col(distance) if distance in rows.columns else F.col("score") if "score" in rows.columns else F.lit(None).cast("double")
+    return rows.withColumn("score", F.coalesce(known, F.lit(default)))
+
+
+def breakdown(lists: DataFrame, chunks: DataFrame, k: int = 5) -> DataFrame:
+    """source, n, citation, agency, score (four places) of the ``k`` best of each ranked list(source, id, score)."""
+    n = F.row_number().over(Window.partitionBy("source").orderBy(F.desc("score"), "id"))
+    best = lists.withColumn("n", n).where(F.col("n") <= k)
+    return best.join(chunks.select("id", "citation", "agency"), "id", "left").select("source", "n", F.coalesce("citation", F.lit("")).alias("citation"), F.coalesce("agency", F.lit("")).alias("agency"), F.round("score", 4).alias("score"))

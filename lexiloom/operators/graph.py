@@ -276,3 +276,11 @@ EDGE_STYLE = {"CITES": "solid", "IMPLEMENTS": "bold", "SUBJECT_TO": "dashed", "D
 
 def styled(edges: DataFrame) -> DataFrame:
     return edges.withColumn("style", lookup(EDGE_STYLE, F.col("rel_type"), "solid"))
+
+
+def with_properties(nodes: DataFrame, wanted: dict[str, list]) -> DataFrame:
+    """Nodes that have, of each property named, one of its values; a property without values filters nothing."""
+    for name, values in wanted.items():
+        if values:
+            nodes = nodes.where(F.col(name).isin(values))
+    return nodes

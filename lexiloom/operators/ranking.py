@@ -196,3 +196,19 @@ def claims(answers: DataFrame, sources: DataFrame) -> tuple[DataFrame, DataFrame
     found = found.groupBy("answer_id", "citation").agg(F.count("*").alias("n"), F.min("pos").alias("pos"))
     best = sources.groupBy("citation").agg(F.max_by("id", F.struct(F.col("score"), -F.col("id"))).alias("source_id"), F.max("score").alias("score"))
     return found.join(best, "citation"), found.join(best, "citation", "left_anti").select("answer_id", "citation")
+
+
+def preamble(seeds: DataFrame, paths: DataFrame, by: str = "query_id", citations: int = 8, edges: int = 6) -> DataFrame:
+    """``by``, preamble: how many seeds, their first citations, and the best terminal of each edge type in order of appearance.
+
+    seeds(by, pos, citation), paths(by, pos, edge_type, chunk_id, score); only ``citations`` and ``edges`` rows of a query are gathered."""
+    count = seeds.groupBy(by).agg(F.count("*").alias("n"))
+    nth = lambda order: F.row_number().over(Window.partitionBy(by).orderBy(order))
+    listed = lambda rows, value: rows.groupBy(by).agg(F.transform(F.array_sort(F.collect_list(F.struct("nth", F.col(value).alias("x")))), lambda s: s["x"]).alias(value))
+    cited = listed(seeds.where("citation <> ''").withColumn("nth", nth("pos")).where(F.col("nth") <= citations), "citation")
+    kinds = paths.where("edge_type <> ''").groupBy(by, "edge_type").agg(F.min("pos").alias("pos"), F.max_by("chunk_id", F.struct(F.coalesce("score", F.lit(0.0)), -F.col("pos"))).alias("terminal"))
+    kinds = kinds.withColumn("nth", nth("pos")).where(F.col("nth") <= edges)
+    chains = listed(kinds.withColumn("chain", F.concat("edge_type", F.lit(" chain to "), F.coalesce(F.col("terminal").cast("string"), F.lit("?")), F.lit("."))), "chain")
+    rows = count.join(cited, by, "left").join(chains, by, "full")
+    head = F.concat(F.lit("Evidence graph: "), F.coalesce("n", F.lit(0)).cast("string"), F.lit(" seeds"), F.coalesce(F.concat(F.lit(" ("), F.array_join("citation", ", "), F.lit(")")), F.lit("")), F.lit("."))
+    return rows.select(by, F.concat_ws(" ", head, F.array_join("chain", " ")).alias("preamble"))

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import answer_queries, chunk_queries, graph_queries, search_queries, state_queries
+from . import answer_queries, chunk_queries, context_queries, graph_queries, search_queries, state_queries
 
-MODULES = (search_queries, graph_queries, state_queries, chunk_queries, answer_queries)
+MODULES = (search_queries, graph_queries, state_queries, chunk_queries, answer_queries, context_queries)
 
 
 def queries() -> dict:

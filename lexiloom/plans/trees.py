@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -76,3 +79,44 @@ def premise_correction(score, text, least: float = 0.3):
     """The best result's first sentence (its first 200 characters if that is longer) where it scores enough."""
     at = F.instr(text, ". ")
     return F.when(score >= least, F.when((at > 0) & (at < 200), F.substring(text, F.lit(1), at)).otherwise(F.substring(text, 1, 200)))
+
+
+def solve(nodes: DataFrame, answer: Callable[[str], str], most: int = MAX_RETRIEVALS, chars: int = 500) -> DataFrame:
+    """tree_id, node_id, query (as asked), answer of every node, children before parents.
+
+    A tree is solved by one task (it has at most 2^MAX_DEPTH nodes): leaves left to right, ``most`` of
+    them with an answer; the left answer of a sequential node goes into every query of its right subtree;
+    a node's answer is that of its children, and marks that nothing filled are taken out at the end."""
+
+    def one(tree):
+        import pandas as pd
+
+        rows = {int(r.node_id): r for r in tree.itertuples()}
+        below: dict[int, list] = {}
+        for r in sorted(rows.values(), key=lambda r: r.side or ""):
+            if r.parent_id == r.parent_id and r.parent_id is not None:
+                below.setdefault(int(r.parent_id), []).append(int(r.node_id))
+        done, asked = [], 0
+
+        def visit(k: int, given: str | None) -> str:
+            nonlocal asked
+            r, kids = rows[k], below.get(k, [])
+            query = r.query if given is None else r.query.replace("[answer_left]", given)
+            if not kids or r.node_type not in ("sequential", "parallel"):
+                asked += 1
+                out = answer(query) if asked <= most else ""
+            else:
+                parts = [visit(kids[0], given)]
+                for kid in kids[1:]:
+                    parts.append(visit(kid, given if given is not None or r.node_type == "parallel" else parts[0][:chars]))
+                out = "\n\n".join(parts)
+            if "[answer_" in out:
+                out = re.sub(r"\[answer_\w+\]", "", out).strip()
+            done.append((r.tree_id, k, query, out))
+            return out
+
+        for k in [k for k, r in rows.items() if r.parent_id != r.parent_id or r.parent_id is None]:
+            visit(k, None)
+        return pd.DataFrame(done, columns=["tree_id", "node_id", "query", "answer"])
+
+    return nodes.groupBy("tree_id").applyInPandas(one, "tree_id long, node_id long, query string, answer string")

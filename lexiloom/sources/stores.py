@@ -195,3 +195,33 @@ def register(users: DataFrame, new: DataFrame) -> tuple[DataFrame, DataFrame]:
     taken = users.select(F.lower("email").alias("key")).distinct().withColumn("taken", F.lit(True))
     rows = new.join(taken, "key", "left").withColumn("ok", F.col("first") & F.col("taken").isNull()).drop("key", "first", "taken")
     return rows.where("ok").drop("ok"), rows.where("not ok").drop("ok")
+
+
+def load_nodes(chunks: DataFrame) -> DataFrame:
+    """Chunks as graph nodes: missing texts empty, a missing index 0, a missing document type substantive, none deprecated."""
+    texts = [F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("id", "agency", "citation", "section_number", "authority_level")]
+    kind = F.coalesce("document_type", F.lit("substantive")) if "document_type" in chunks.columns else F.lit("substantive")
+    return chunks.select(*texts, kind.alias("document_type"), F.coalesce("filename", F.lit("")).alias("filename"), F.coalesce("chunk_index", F.lit(0)).cast("long").alias("chunk_index"), F.lit(0).cast("tinyint").alias("deprecated"))
+
+
+def drop_store(spark: SparkSession, path: str) -> bool:
+    """Deletes a store's folder, in whatever file system it is; whether it was there."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def list_conversations(conversations: DataFrame, user: Column) -> DataFrame:
+    """A user's conversations, the newest first."""
+    return conversations.where(F.col("user_id") == user).orderBy(F.desc("updated_at"), F.desc("id"))
+
+
+def list_messages(messages: DataFrame, conversation: Column) -> DataFrame:
+    """A conversation's messages, the oldest first."""
+    return messages.where(F.col("conversation_id") == conversation).orderBy("created_at", "id")
+
+
+def update_conversations(conversations: DataFrame, changes: DataFrame) -> DataFrame:
+    """Conversations with the latest change(id, title, at) of each: its title, where it has one, and its time as updated_at."""
+    last = changes.groupBy("id").agg(F.max_by("title", "at").alias("__title"), F.max("at").alias("__at"))
+    rows = conversations.join(last, "id", "left")
+    return rows.withColumns({"title": F.coalesce("__title", "title"), "updated_at": F.greatest("__at", "updated_at")}).drop("__title", "__at")

@@ -156,3 +156,33 @@ def test_reading_seven_of_eight_cells_finds_nine_tenths(spark):
 
 def test_weights_override_ignores_bad_parts():
     assert config.weights_from("CITES:0.9, bad, X:y", {"CITES": 0.35, "IMPLEMENTS": 0.75}) == {"CITES": 0.9, "IMPLEMENTS": 0.75}
+
+
+def test_preamble_without_seeds_or_paths(spark):
+    seeds = spark.createDataFrame([(1, 1, None), (1, 2, "A")], "query_id long, pos long, citation string")
+    paths = spark.createDataFrame([(2, 1, "CITES", None, None), (2, 2, "", 5, 9.0)], "query_id long, pos long, edge_type string, chunk_id long, score double")
+    got = {r["query_id"]: r["preamble"] for r in ranking.preamble(seeds, paths).collect()}
+    assert got == {1: "Evidence graph: 2 seeds (A).", 2: "Evidence graph: 0 seeds. CITES chain to ?."}
+    assert ranking.preamble(seeds.limit(0), paths.limit(0)).count() == 0
+
+
+def test_tree_solving_stops_at_its_limit_and_nested_marks_take_the_outer_answer(spark):
+    from lexiloom.plans import trees
+
+    rows = [(1, 1, None, "", "sequential", "r"), (1, 2, 1, "0", "leaf", "a"), (1, 3, 1, "1", "sequential", "s"), (1, 4, 3, "0", "leaf", "b [answer_left]"), (1, 5, 3, "1", "leaf", "c [answer_left]"), (2, 1, None, "", "strange", "q")]
+    nodes = spark.createDataFrame(rows, "tree_id long, node_id long, parent_id long, side string, node_type string, query string")
+    got = {(r["tree_id"], r["node_id"]): (r["query"], r["answer"]) for r in trees.solve(nodes, lambda q: q.upper() + "x" * 600, most=2).collect()}
+    long = "A" + "x" * 499
+    assert got[1, 4] == (f"b {long}", f"B {long.upper()}" + "x" * 600) and got[1, 5] == (f"c {long}", "")
+    assert got[2, 1][0] == "q" and got[1, 1][1].startswith("Ax")
+
+
+def test_a_dropped_store_is_gone(spark, tmp_path):
+    spark.range(3).write.parquet(f"{tmp_path}/t")
+    assert stores.drop_store(spark, f"file://{tmp_path}/t") and not (tmp_path / "t").exists()
+    assert not stores.drop_store(spark, f"file://{tmp_path}/t")
+
+
+def test_nodes_without_a_document_type_are_substantive(spark):
+    df = spark.createDataFrame([(None, None, None, None, None, None, None)], "id string, agency string, citation string, section_number string, authority_level string, filename string, chunk_index int")
+    assert tuple(stores.load_nodes(df).first()) == ("", "", "", "", "", "substantive", "", 0, 0)
