@@ -64,20 +64,45 @@ def combinations(lengths: np.ndarray, counts: np.ndarray, window: int, most: int
     return [c for _, c in found[:most]]
 
 
-def nnls(a: np.ndarray, b: np.ndarray, rounds: int = 300) -> np.ndarray:
+class Uses:
+    """The matrix of how often each combination (column) uses each length (row); a column has at most three entries."""
+
+    def __init__(self, combos: list[tuple[int, ...]], row: dict[int, int]):
+        self.rows = len(row)
+        self.at = np.array([[row[x] for x in c] + [self.rows] * (3 - len(c)) for c in combos], np.int64).reshape(-1, 3)
+        self.shape = (self.rows, len(combos))
+
+    def __matmul__(self, x: np.ndarray) -> np.ndarray:
+        return np.bincount(self.at.ravel(), np.repeat(x, 3), self.rows + 1)[: self.rows]
+
+    @property
+    def T(self) -> "_Transposed":
+        return _Transposed(self)
+
+
+class _Transposed:
+    def __init__(self, uses: Uses):
+        self.uses = uses
+
+    def __matmul__(self, y: np.ndarray) -> np.ndarray:
+        return np.append(y, 0.0)[self.uses.at].sum(axis=1)
+
+
+def nnls(a: np.ndarray | Uses, b: np.ndarray, rounds: int = 300) -> np.ndarray:
     """argmin ||a x - b|| over x >= 0, by accelerated projected gradient steps."""
-    if not a.shape[1]:
+    n = a.shape[1]
+    if not n:
         return np.zeros(0)
-    g, h = a.T @ a, a.T @ b
-    v = np.ones(len(g))
+    t_a, h = a.T, a.T @ b
+    v = np.ones(n)
     for _ in range(30):
-        v = g @ v
+        v = t_a @ (a @ v)
         v /= np.linalg.norm(v)
-    step = 1.0 / (float(v @ g @ v) * 1.05)
-    x = y = np.zeros(len(g))
+    step = 1.0 / (float(v @ (t_a @ (a @ v))) * 1.05)
+    x = y = np.zeros(n)
     t = 1.0
     for _ in range(rounds):
-        new = np.maximum(0, y - step * (g @ y - h))
+        new = np.maximum(0, y - step * (t_a @ (a @ y) - h))
         if (new - x) @ (y - new) > 0:
             t = 1.0
         s = (1 + (1 + 4 * t * t) ** 0.5) / 2
@@ -94,11 +119,7 @@ def solve(values: np.ndarray, counts: np.ndarray, window: int, rounds: int = 16)
         combos = combinations(have, number, window)
         if not combos:
             break
-        row = {int(v): k for k, v in enumerate(have)}
-        a = np.zeros((len(have), len(combos)))
-        for j, c in enumerate(combos):
-            for x in c:
-                a[row[x], j] += 1
+        a = Uses(combos, {int(v): k for k, v in enumerate(have)})
         used, before = 0, sum(left.values())
         for c, n in sorted(zip(combos, np.ceil(nnls(a, number.astype(float)) - 0.01)), key=lambda z: -z[1]):
             n = min(int(n), *(left[x] // c.count(x) for x in c))
