@@ -136,10 +136,9 @@ def references(docs: DataFrame, max_languages: int = 10_000) -> dict[str, dict]:
         yield from out()
 
     sums = map_arrow(_rows(docs), count, "lang string, key string, n long").groupBy("lang", "key").agg(F.sum("n").alias("n"))
-    # ranked by task first: the limit by rank is on words alone, so that it is applied before the exchange
-    by = Window.partitionBy("lang").orderBy(F.desc("n"), "key")
-    words = sums.where(F.col("key").startswith("w")).withColumn("r", F.row_number().over(by)).where(F.col("r") <= TOP)
-    top = words.select("lang", "key", "n").union(sums.where(~F.col("key").startswith("w")))
+    # one limit for words and for the few other counts, so that each task ranks its own before the exchange
+    by = Window.partitionBy("lang", "word").orderBy(F.desc("n"), "key")
+    top = sums.withColumn("word", F.col("key").startswith("w")).withColumn("r", F.row_number().over(by)).where(F.col("r") <= max(TOP, N_CLASSES + 1))
     out: dict[str, dict] = {}
     for r in top.select("lang", "key", "n").limit(max_languages * (TOP + N_CLASSES + 1) + 1).collect():
         out.setdefault(r["lang"], {})[r["key"]] = r["n"]
