@@ -9,7 +9,9 @@ a text.  Shingle fingerprints of edited copies differ in many bits (of 293
 pairs with five-word Jaccard of 0.8 or more, 0.3% lie within 2 bits), those of
 distinct words in few (98.6% within 5), so ``near_copies`` uses the latter and
 holds each link against a second fingerprint, of five-word shingles, whose
-distance follows the shingles' similarity.
+distance follows the shingles' similarity.  The links of shingle fingerprints
+that ``dedup`` makes are its links too: most such pairs are near by words, but
+not all (of 1,697 pairs of sf0.1, two are not).
 
 Trees by shard: the 64 bits are cut into blocks so that any linked pair shares
 a choice of them (3 blocks for radius 2: one is equal); a shard holds the
@@ -45,6 +47,7 @@ from .common import map_arrow, save, shuffle_parts, slices
 from .components import components
 
 SEED = 42
+SHINGLE_RADIUS = 2  # bits that linked fingerprints of three-word shingles differ in
 
 
 def fingerprints(texts: list[str | None], width: int = 3) -> np.ndarray:
@@ -91,18 +94,24 @@ def word_fingerprints(texts: list[str | None], width: int = 5) -> tuple[np.ndarr
     return out[0], out[1]
 
 
+_FPS = ("fp", "fp2", "fp3")
+
+
 def fingerprint_table(docs: DataFrame, width: int = 3, words: bool = False) -> DataFrame:
-    """doc_id, id (of the class), fp and fp2 (signed 64-bit) of every row, written to the shared folder."""
+    """doc_id, id (of the class), fp, fp2 and fp3 (signed 64-bit) of every row, written to the shared folder.
+
+    fp is of shingles, fp2 and fp3 zero; with ``words`` the three are of words, of five-word shingles and of shingles."""
 
     def run(batches):
         for b in slices(batches, 256):
             texts = b.column(1).to_pylist()
-            fp, fp2 = word_fingerprints(texts) if words else (fingerprints(texts, width), np.zeros(len(texts), np.uint64))
-            yield {"doc_id": b.column(0), "fp": fp.view(np.int64), "fp2": fp2.view(np.int64)}
+            fp, none = fingerprints(texts, width), np.zeros(len(texts), np.uint64)
+            every = (*word_fingerprints(texts), fp) if words else (fp, none, none)
+            yield {"doc_id": b.column(0), **{k: x.view(np.int64) for k, x in zip(_FPS, every)}}
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    rows = map_arrow(rows, run, "doc_id long, fp long, fp2 long")
-    return save(rows.withColumn("id", F.xxhash64("fp", "fp2") if words else F.col("fp")), "fingerprints")
+    rows = map_arrow(rows, run, "doc_id long, " + ", ".join(f"{k} long" for k in _FPS))
+    return save(rows.withColumn("id", F.xxhash64(*_FPS) if words else F.col("fp")), "fingerprints")
 
 
 class BKTree:
@@ -226,11 +235,14 @@ def link_classes(classes: DataFrame, n: int, radius: int = 2, check: int = 64, t
 
 
 def dedup(docs: DataFrame, radius: int = 2, width: int = 3, words: bool = False, check: int = 64) -> DataFrame:
-    """doc_id, fp, component_id of every row."""
+    """doc_id, fp, component_id of every row; with ``words``, shingle fingerprints within SHINGLE_RADIUS link too."""
     fps = fingerprint_table(docs, width, words)
-    classes = save(fps.groupBy("id", "fp", "fp2").agg(F.count("*").alias("n"), F.min("doc_id").alias("least")), "classes")
+    classes = save(fps.groupBy("id", *_FPS).agg(F.count("*").alias("n"), F.min("doc_id").alias("least")), "classes")
     rows, n = classes.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    roots = components(link_classes(classes, n, radius, check))
+    links = link_classes(classes, n, radius, check)
+    if words:
+        links = links.union(link_classes(classes.select("id", F.col("fp3").alias("fp"), F.lit(0).cast("long").alias("fp2")), n, SHINGLE_RADIUS))
+    roots = components(links)
     rooted = classes.join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
     named = rooted.join(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "root")
     named = save(named.select("id", "n", "component_id"), "named")
@@ -249,7 +261,8 @@ def dedup_digest(docs: DataFrame) -> DataFrame:
 
 
 def near_copies(docs: DataFrame, radius: int = 5, check: int = 16) -> DataFrame:
-    """doc_id, fp, component_id by fingerprints of distinct words, each link confirmed by five-word shingles.
+    """doc_id, fp, component_id by fingerprints of distinct words, each link confirmed by five-word shingles,
+    and by the links of three-word shingles that ``dedup`` makes, which need no such confirmation.
 
     A distance of 16 bits of 64 between shingle fingerprints is that of sets with a Jaccard similarity of
     about 0.5; sets at 0.8 lie at 10, so that the check passes what the sampling of bits spreads."""
