@@ -47,9 +47,12 @@ def merge_nodes(spark: SparkSession, d: str) -> DataFrame:
     return stores.merge_nodes(c, new)
 
 
+_NO_NODE = 1 << 62  # added to a key it gives one that no node has, however many there are
+
+
 def merge_edges(spark: SparkSession, d: str) -> DataFrame:
     e = views.implements(spark, d).where("dst % 2 = 0")
-    new = views.implements(spark, d).withColumn("confidence", F.lit(0.5)).withColumn("dst", F.col("dst") + F.when(F.col("dst") % 3 == 0, 1_000_000).otherwise(0))
+    new = views.implements(spark, d).withColumn("confidence", F.lit(0.5)).withColumn("dst", F.when(F.col("dst") % 3 > 0, F.col("dst")).otherwise(F.col("dst") + _NO_NODE))
     nodes = views.table(spark, d, "supplier").select(F.col("s_suppkey").alias("id")).union(views.table(spark, d, "part").select("p_partkey")).distinct()
     return stores.merge_edges(e, new, nodes).select("src", "dst", "rel_type", "confidence")
 
