@@ -22,6 +22,9 @@ _FORMS = {
 _NUMBERS = {"WAC": ("100 + {d} % 800", "10 + {d} % 90", "100 + {i} % 900"), "RCW": ("10 + {d} % 90", "10 + {d} % 90", "100 + {i} % 900"), "SMC": ("10 + {d} % 90", "10 + {d} % 90", "100 + {i} % 900"), "SPU": ("10 + {d} % 90", "10 + ({i} // 90) % 90", "10 + {i} % 90"), "IBC-WA": ("10 + {d} % 90", "10 + ({i} // 90) % 90", "10 + {i} % 90")}
 
 
+_BODY = "\ue000"  # in front of the lines of a document, while it is split: only the headers put in are headers
+
+
 def _headed(spark: SparkSession, d: str, agency: str) -> DataFrame:
     numbers = [n.replace("//", "div") for n in _NUMBERS[agency]]
 
@@ -30,7 +33,8 @@ def _headed(spark: SparkSession, d: str, agency: str) -> DataFrame:
 
     rows = views.table(spark, d, "documents").select("doc_id", F.transform(F.split("text", "\n", -1), line).alias("lines"))
     args = ", ".join("CAST(" + n.format(d="doc_id", i="s.i") + " AS INT)" for n in numbers)
-    text = F.expr(f"array_join(transform(lines, s -> concat(format_string('{_FORMS[agency][0]}', {args}, s.i), '\\n', s.x)), '\\n')")
+    body = rf"regexp_replace(s.x, r'(?m)^(?=.*\S)', '{_BODY}')"
+    text = F.expr(f"array_join(transform(lines, s -> concat(format_string('{_FORMS[agency][0]}', {args}, s.i), '\\n', {body})), '\\n')")
     return rows.select(F.col("doc_id").cast("string").alias("filename"), text.alias("text"))
 
 
@@ -44,6 +48,7 @@ SELECT CAST(doc_id AS VARCHAR) AS filename, CAST(i AS INTEGER) AS chunk_index, f
 def _splitter(agency: str):
     def run(spark: SparkSession, d: str) -> DataFrame:
         rows = chunking.chunk_documents(_headed(spark, d, agency), agency, limit=1 << 30)
+        rows = rows.withColumn("text", F.regexp_replace("text", f"(?m)^{_BODY}", ""))
         return rows.select("filename", "chunk_index", "citation", "section_title", F.length("text").alias("n"), F.md5("text").alias("hash"))
 
     run.__doc__ = f"Sections of {agency} documents, none over the limit."
