@@ -49,9 +49,13 @@ def lookup(values: Mapping[str, float | int | str], key: Column, default=None) -
     return got if default is None else F.coalesce(got, F.lit(default))
 
 
+#: White space of any script: what a regular expression's (?U)\\s is.
+SPACES = "\t\n\x0b\x0c\r \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
+
+
 def strip(text: Column) -> Column:
-    """Removes white space of any script at both ends."""
-    return F.regexp_replace(text, r"(?U)^\s+|\s+\z", "")
+    """Removes white space of any script at both ends (which alone are looked at)."""
+    return F.btrim(text, F.lit(SPACES))
 
 
 def blank_to_null(text: Column) -> Column:

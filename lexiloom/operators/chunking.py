@@ -25,9 +25,15 @@ CHUNKS = "array<struct<" + ",".join(f"{n}:{t}" for n, t in FIELDS) + ">>"
 
 def normalize_text(text: Column) -> Column:
     """Without image and unknown marks and invisible characters, line ends as \\n, at most one blank line."""
-    t = F.regexp_replace(text, r"(?i)<!--\s*image\s*-->", "")
-    t = F.regexp_replace(F.replace(t, F.lit("<unknown>"), F.lit("")), "[​‌‍﻿­]", "")
-    return strip(F.regexp_replace(F.regexp_replace(t, "\r\n?", "\n"), "\n{3,}", "\n\n"))
+    t = _replaced(text, "<!--", r"(?i)<!--\s*image\s*-->", "")
+    for mark in ("<unknown>", *"\u200b\u200c\u200d\ufeff\xad"):
+        t = F.replace(t, F.lit(mark), F.lit(""))
+    return strip(_replaced(_replaced(t, "\r", "\r\n?", "\n"), "\n\n\n", "\n{3,}", "\n\n"))
+
+
+def _replaced(text: Column, needed: str, pattern: str, by: str) -> Column:
+    """regexp_replace of a pattern that no text without ``needed`` has: such texts are only looked through for it."""
+    return let(text, lambda t: F.when(F.contains(t, F.lit(needed)), F.regexp_replace(t, pattern, by)).otherwise(t))
 
 
 def has_images(text: Column) -> Column:
@@ -77,11 +83,16 @@ def _sections(text: Column, mark: str) -> Column:
     return F.filter(_cut(text, mark), lambda p: _marked(p, mark))
 
 
-def _before(text: Column, mark: str) -> Column:
-    """What precedes the first section; null if there is nothing, or no section."""
-    parts = _cut(text, mark)
-    first = F.get(parts, F.lit(0))
-    return F.when((F.size(_sections(text, mark)) > 0) & ~_marked(first, mark), first)
+def _with_sections(text: Column, mark: str, use: Callable[[Column, Column], Column]) -> Column:
+    """``use`` of the sections and of what precedes the first one (null if there is nothing, or no section); the text is cut once."""
+
+    def of(parts: Column) -> Column:
+        first = F.get(parts, F.lit(0))
+        sections = F.filter(parts, lambda p: _marked(p, mark))
+        both = lambda found: F.struct(found.alias("found"), F.when((F.size(found) > 0) & ~_marked(first, mark), first).alias("before"))
+        return let(let(sections, both), lambda s: use(s["found"], s["before"]))
+
+    return let(_cut(text, mark), of)
 
 
 def _group(piece: Column, mark: str, n: int) -> Column:
@@ -89,7 +100,7 @@ def _group(piece: Column, mark: str, n: int) -> Column:
 
 
 def _title(value: Column) -> Column:
-    return F.regexp_replace(strip(value), r"\.+$", "")
+    return F.rtrim(strip(value), F.lit("."))
 
 
 def sub_split(text: Column, limit: int) -> Column:
@@ -124,6 +135,11 @@ def _glued(text: Column, mark: str) -> Column:
     return let(_cut(text, mark), glued)
 
 
+def _at_most(text: Column, limit: int) -> Column:
+    """Whether a text has at most ``limit`` tokens; none is shorter than a character, so short texts need no count."""
+    return (F.coalesce(F.length(text), F.lit(0)) <= limit) | (token_count(text) <= limit)
+
+
 def _pieces(text: Column, limit: int, mark: str | None, name: Callable[[Column], Column], base: Column) -> Column:
     """array of (id, text): whole (id null), by subsections named by their place, or by size."""
     pair = lambda i, t: F.struct(i.cast("string").alias("id"), t.alias("text"))
@@ -132,7 +148,7 @@ def _pieces(text: Column, limit: int, mark: str | None, name: Callable[[Column],
     if mark:
         by = lambda subs: F.flatten(F.transform(subs, lambda t, k: F.when(token_count(t) <= limit, F.array(pair(name(k), t))).otherwise(parts(t, name(k)))))
         smaller = let(_glued(text, mark), lambda subs: F.when(F.size(subs) >= 2, by(subs)).otherwise(parts(text, base)))
-    return F.when(token_count(text) <= limit, F.array(pair(_null(), text))).otherwise(smaller)
+    return F.when(_at_most(text, limit), F.array(pair(_null(), text))).otherwise(smaller)
 
 
 _NUMBERED = r"^[ \t]*\(\d+\)"
@@ -192,9 +208,8 @@ def wac(text: Column, filename: Column, limit: int = CHUNK_TOKENS["WAC"]) -> Col
         found = lambda parts: F.transform(pieces, lambda p, i: F.when(_marked(p, WAC_HEADER), let(_group(p, WAC_HEADER, 1), lambda number: section(p, number, strip(F.element_at(parts, i + 1))))).otherwise(F.array().cast(CHUNKS)))
         return F.flatten(let(carried(pieces), found))
 
-    pieces = F.split(text, rf"(?m)(?={WAC_HEADER})", -1)
-    marked = F.filter(pieces, lambda p: _marked(p, WAC_HEADER))
-    return _or_fallback(text, marked, let(pieces, sections), limit)
+    marked = lambda pieces: F.filter(pieces, lambda p: _marked(p, WAC_HEADER))
+    return let(F.split(text, rf"(?m)(?={WAC_HEADER})", -1), lambda pieces: _or_fallback(text, marked(pieces), sections(pieces), limit))
 
 
 _RCW_NUMBER = r"\d{1,2}[A-Z]?\.\d{1,3}[A-Z]?[.-]\d{3,4}"
@@ -203,23 +218,27 @@ RCW_HEADER = rf"^{_HASH}RCW\s+({_RCW_NUMBER})\s+(.+)$"
 
 def rcw(text: Column, filename: Column, limit: int = CHUNK_TOKENS["RCW"]) -> Column:
     """Statutes: sections with legislative history; a long preamble of cross references is an index chunk."""
-    marked, before = _sections(text, RCW_HEADER), _before(text, RCW_HEADER)
-    references = F.size(F.regexp_extract_all(before, F.lit(rf"(?m)^\s+.*?(?:RCW\s+{_RCW_NUMBER}|{_RCW_NUMBER})"), 0))
-    is_index = (F.length(before) > 500) & (references >= 5)
-    title = lambda x: F.when(x["id"].isNull(), F.lit("Cross-Reference Index")).otherwise(F.concat(F.lit("Cross-Reference Index (part "), F.regexp_extract(x["id"], r"(\d+)$", 1), F.lit(")")))
-    index = F.transform(_pieces(before, limit, None, _letter, F.lit("")), lambda x: _chunk(x["text"], content_type=F.lit("cross_reference_index"), citation=F.lit(""), section_title=title(x)))
 
-    def section(p: Column) -> Column:
-        number = _group(p, RCW_HEADER, 1)
+    def section(p: Column, number: Column) -> Column:
         history = _some(F.regexp_extract(p, r"(?s)(\[\d{4}\s+.*?\])\s*\z", 1))
-        one = lambda x: _chunk(
-            x["text"], citation=F.concat(F.lit("RCW "), number), section_number=number, section_title=_title(_group(p, RCW_HEADER, 2)), subsection_id=x["id"],
-            parent_section=F.concat(F.lit("RCW "), F.regexp_replace(number, r"\.[^.]*$", "")), last_amended_date=_some(F.regexp_extract(history, r"\[(\d{4})\s+", 1)), metadata=_meta(legislative_history=history),
-        )
-        return F.transform(_pieces(p, limit, _NUMBERED, _by_number(number), number), one)
 
-    chunks = F.flatten(F.transform(marked, section))
-    return _or_fallback(text, marked, F.when(F.coalesce(is_index, F.lit(False)), F.concat(index.cast(CHUNKS), chunks.cast(CHUNKS))).otherwise(chunks.cast(CHUNKS)), limit)
+        def all_of(x: Column, title: Column, history: Column) -> Column:
+            return _chunk(
+                x["text"], citation=F.concat(F.lit("RCW "), number), section_number=number, section_title=title, subsection_id=x["id"],
+                parent_section=F.concat(F.lit("RCW "), F.regexp_replace(number, r"\.[^.]*$", "")), last_amended_date=_some(F.regexp_extract(history, r"\[(\d{4})\s+", 1)), metadata=_meta(legislative_history=history),
+            )
+
+        return let(F.struct(_title(_group(p, RCW_HEADER, 2)).alias("title"), history.alias("history")), lambda s: F.transform(_pieces(p, limit, _NUMBERED, _by_number(number), number), lambda x: all_of(x, s["title"], s["history"])))
+
+    def chunks(marked: Column, before: Column) -> Column:
+        references = F.size(F.regexp_extract_all(before, F.lit(rf"(?m)^\s+.*?(?:RCW\s+{_RCW_NUMBER}|{_RCW_NUMBER})"), 0))
+        is_index = (F.length(before) > 500) & (references >= 5)
+        title = lambda x: F.when(x["id"].isNull(), F.lit("Cross-Reference Index")).otherwise(F.concat(F.lit("Cross-Reference Index (part "), F.regexp_extract(x["id"], r"(\d+)$", 1), F.lit(")")))
+        index = F.transform(_pieces(before, limit, None, _letter, F.lit("")), lambda x: _chunk(x["text"], content_type=F.lit("cross_reference_index"), citation=F.lit(""), section_title=title(x)))
+        found = F.flatten(F.transform(marked, lambda p: let(_group(p, RCW_HEADER, 1), lambda number: section(p, number)))).cast(CHUNKS)
+        return _or_fallback(text, marked, let(found, lambda c: F.when(F.coalesce(is_index, F.lit(False)), F.concat(index.cast(CHUNKS), c)).otherwise(c)), limit)
+
+    return _with_sections(text, RCW_HEADER, chunks)
 
 
 SMC_HEADER = rf"^{_HASH}(\d{{1,2}}\.\d{{2,3}}\.\d{{3}})\s*[-–—]\s*(.+)$"
@@ -237,10 +256,8 @@ def _table_type(text: Column) -> Column:
 def smc(text: Column, filename: Column, limit: int = CHUNK_TOKENS["SMC"]) -> Column:
     """Municipal code: sections without web footers, with ordinance history, definitions and table types."""
     clean = F.regexp_replace(text, r"(?m)The Seattle Municipal Code.*?$|^\d{1,2}/\d{1,2}/\d{4}.*?$", "")
-    marked = _sections(clean, SMC_HEADER)
 
-    def section(p: Column) -> Column:
-        number = _group(p, SMC_HEADER, 1)
+    def section(p: Column, number: Column) -> Column:
         history = F.try_element_at(F.regexp_extract_all(p, F.lit(r"(?s)\(Ord\.\s+\d+.*?\)"), 0), F.lit(-1))
         kind = F.when(p.rlike(r'"[^"]+"\s+means\b'), "definition").otherwise("substantive")
         one = lambda x: _chunk(
@@ -251,7 +268,8 @@ def smc(text: Column, filename: Column, limit: int = CHUNK_TOKENS["SMC"]) -> Col
         name = lambda k: F.concat(number, F.lit("("), _letter(k), F.lit(")"))
         return F.transform(_pieces(p, limit, _LETTERED, name, number), one)
 
-    return _or_fallback(clean, marked, F.flatten(F.transform(marked, section)), limit)
+    chunks = lambda marked: F.flatten(F.transform(marked, lambda p: let(_group(p, SMC_HEADER, 1), lambda number: section(p, number))))
+    return let(clean, lambda t: let(_sections(t, SMC_HEADER), lambda marked: _or_fallback(t, marked, chunks(marked), limit)))
 
 
 _DIR_FIELDS = {"supersedes": "Supersedes", "publication_date": "Publication", "effective_date": "Effective", "subject": "Subject", "code_reference": "Code/Section Reference", "rule_type": "Type of Rule", "ordinance_authority": "Ordinance Authority", "department": "Applicant"}
@@ -327,7 +345,8 @@ def court_opinion(text: Column, filename: Column, limit: int = CHUNK_TOKENS["WA
     number = _some(caption["case_number"])
     citation = F.coalesce(F.get(case, F.lit(0)), F.concat(F.lit("No. "), number), F.regexp_replace(F.regexp_extract(filename, r"([^/]*)$", 1), r"\.[^.]*$", ""))
     same = dict(citation=citation, parent_section=citation)
-    marked, before = _sections(text, HEADING), _before(text, HEADING)
+    parts = _with_sections(text, HEADING, lambda marked, before: F.struct(marked.alias("marked"), before.alias("before")))
+    marked, before = parts["marked"], parts["before"]
     head = F.when(F.length(before) > 50, F.array(_chunk(before, section_title=F.lit("Case Caption"), **{**same, "content_type": F.lit("case_caption"), "metadata": _meta(**caption, opinion_type=F.lit("majority"))})).cast(CHUNKS)).otherwise(F.array().cast(CHUNKS))
     pairs = F.transform(marked, lambda p: F.struct(_group(p, HEADING, 1).alias("heading"), p.alias("body")))
 
@@ -382,31 +401,38 @@ _AMENDMENTS = (("added", r"(?i)is\s+added"), ("amended", r"(?i)is\s+amended"), (
 def building_code(text: Column, filename: Column, limit: int = CHUNK_TOKENS["IBC-WA"]) -> Column:
     """Building code amendments by section with their kind; energy codes by SECTION C101 headers."""
     parent = F.coalesce(_some(F.replace(filename, F.lit(".pdf"), F.lit(""))), F.lit("IBC-WA"))
-    marked, energy = _sections(text, IBC_HEADER), _sections(text, ENERGY_HEADER)
     chapter = F.coalesce(_some(F.regexp_extract(F.substring(text, 1, 1000), r"(?i)CHAPTER\s+(51-\d{2,3}[A-Z]*)\s+WAC", 1)), F.lit("51-11C"))
     none = F.array().cast(CHUNKS)
 
-    def preface(mark: str, citation: Column, meta: Column) -> Column:
-        before = _before(text, mark)
+    def preface(before: Column, citation: Column, meta: Column) -> Column:
         title = lambda x: F.when(x["id"].isNull(), "Preface").otherwise(F.concat(F.lit("Preface (part "), F.regexp_extract(x["id"], r"(\d+)$", 1), F.lit(")")))
         return F.when(F.length(before) > 50, F.transform(_pieces(before, limit, None, _letter, F.lit("")), lambda x: _chunk(x["text"], citation=citation, section_title=title(x), content_type=F.lit("preface"), parent_section=parent, metadata=meta)).cast(CHUNKS)).otherwise(none)
 
-    def section(p: Column) -> Column:
-        number = _group(p, IBC_HEADER, 1)
-        kind = F.lit("amended")
-        for name, sign in reversed(_AMENDMENTS):
-            kind = F.when(F.substring(p, 1, 500).rlike(sign), name).otherwise(kind)
-        meta = _meta(ibc_section=F.substring_index(number, "-", -1), amendment_type=kind, base_code=F.lit("IBC"))
+    def section(p: Column, number: Column) -> Column:
+        def kind(top: Column) -> Column:
+            out = F.lit("amended")
+            for name, sign in reversed(_AMENDMENTS):
+                out = F.when(top.rlike(sign), name).otherwise(out)
+            return out
+
+        meta = _meta(ibc_section=F.substring_index(number, "-", -1), amendment_type=let(F.substring(p, 1, 500), kind), base_code=F.lit("IBC"))
         return F.transform(_pieces(p, limit, _NUMBERED, _by_number(number), number), lambda x: _chunk(x["text"], citation=F.concat(F.lit("WAC "), number), section_number=number, section_title=_title(_group(p, IBC_HEADER, 2)), subsection_id=x["id"], parent_section=parent, metadata=meta))
 
-    def energy_section(p: Column) -> Column:
-        number = _group(p, ENERGY_HEADER, 1)
+    def energy_section(p: Column, number: Column) -> Column:
         return F.transform(_pieces(p, limit, None, _letter, number), lambda x: _chunk(x["text"], citation=F.concat(F.lit("WAC "), chapter, F.lit(" §"), number), section_number=number, section_title=_title(_group(p, ENERGY_HEADER, 2)), subsection_id=x["id"], parent_section=parent))
 
-    base = _meta(base_code=F.lit("IBC"))
-    amendments = F.concat(preface(IBC_HEADER, F.lit(""), base), F.flatten(F.transform(marked, section)).cast(CHUNKS))
-    adopted = F.concat(preface(ENERGY_HEADER, F.concat(F.lit("WAC "), chapter), F.create_map().cast("map<string,string>")), F.flatten(F.transform(energy, energy_section)).cast(CHUNKS))
-    return F.when(F.size(marked) > 0, amendments).otherwise(_or_fallback(text, energy, adopted, limit))
+    def each(sections: Column, mark: str, one: Callable[[Column, Column], Column]) -> Column:
+        return F.flatten(F.transform(sections, lambda p: let(_group(p, mark, 1), lambda number: one(p, number)))).cast(CHUNKS)
+
+    def adopted(energy: Column, before: Column) -> Column:
+        found = F.concat(preface(before, F.concat(F.lit("WAC "), chapter), F.create_map().cast("map<string,string>")), each(energy, ENERGY_HEADER, energy_section))
+        return _or_fallback(text, energy, found, limit)
+
+    def amended(marked: Column, before: Column) -> Column:
+        found = F.concat(preface(before, F.lit(""), _meta(base_code=F.lit("IBC"))), each(marked, IBC_HEADER, section))
+        return F.when(F.size(marked) > 0, found).otherwise(_with_sections(text, ENERGY_HEADER, adopted))
+
+    return _with_sections(text, IBC_HEADER, amended)
 
 
 SPU_HEADER = rf"^{_HASH}(\d{{1,2}}(?:\.\d{{1,2}}){{1,3}})\s+(.+)$"
@@ -432,15 +458,16 @@ def _spu_type(text: Column) -> Column:
 
 def design_standard(text: Column, filename: Column, limit: int = CHUNK_TOKENS["SPU"]) -> Column:
     """Design standards: decimal sections; of oversized ones tables and prose apart; mandatory language."""
-    marked, before = _sections(text, SPU_HEADER), _before(text, SPU_HEADER)
     none = F.array().cast(CHUNKS)
     must = lambda t: _meta(mandatory=F.when(t.rlike(r"(?i)\b(?:must|shall)\b"), "true"))
-    intro = F.when((F.length(before) > 50) & (token_count(before) <= limit), F.array(_chunk(before, citation=F.lit(""), section_title=F.lit("Introduction"))).cast(CHUNKS)).otherwise(none)
+    intro = lambda before: F.when((F.length(before) > 50) & _at_most(before, limit), F.array(_chunk(before, citation=F.lit(""), section_title=F.lit("Introduction"))).cast(CHUNKS)).otherwise(none)
 
     def section(p: Column) -> Column:
-        number, title = _group(p, SPU_HEADER, 1), _title(_group(p, SPU_HEADER, 2))
-        table = p.rlike(r"(?m)(?:Table\s+\d|^\|)")
-        kind = F.when(table, _spu_type(p))
+        number, title, table = _group(p, SPU_HEADER, 1), _title(_group(p, SPU_HEADER, 2)), p.rlike(r"(?m)(?:Table\s+\d|^\|)")
+        known = F.struct(number.alias("number"), title.alias("title"), table.alias("table"), F.when(table, _spu_type(p)).alias("kind"))
+        return let(known, lambda s: chunks(p, s["number"], s["title"], s["table"], s["kind"]))
+
+    def chunks(p: Column, number: Column, title: Column, table: Column, kind: Column) -> Column:
         content = F.when((kind == "definition") | F.contains(F.lower(title), F.lit("definition")), "definition").when(kind == "specification", "specification").otherwise("substantive")
         more = dict(citation=F.concat(F.lit("SPU "), number), section_number=number, parent_section=F.concat(F.lit("SPU "), F.regexp_replace(number, r"\.[^.]*$", "")))
         whole = F.array(_chunk(p, section_title=title, content_type=content, is_table=table, table_type=kind, metadata=must(p), **more)).cast(CHUNKS)
@@ -454,9 +481,9 @@ def design_standard(text: Column, filename: Column, limit: int = CHUNK_TOKENS["S
 
         tables = F.flatten(F.transform(split["tables"], one_table)).cast(CHUNKS)
         prose = F.when(split["prose"] != "", F.transform(_pieces(split["prose"], limit, None, _letter, number), lambda x: _chunk(x["text"], section_title=title, subsection_id=x["id"], content_type=content, metadata=must(x["text"]), **more)).cast(CHUNKS)).otherwise(none)
-        return F.when(token_count(p) <= limit, whole).otherwise(F.concat(tables, prose))
+        return F.when(_at_most(p, limit), whole).otherwise(F.concat(tables, prose))
 
-    return _or_fallback(text, marked, F.concat(intro, F.flatten(F.transform(marked, section)).cast(CHUNKS)), limit)
+    return _with_sections(text, SPU_HEADER, lambda marked, before: _or_fallback(text, marked, F.concat(intro(before), F.flatten(F.transform(marked, section)).cast(CHUNKS)), limit))
 
 
 #: The registry of strategies; a new family is a new entry.

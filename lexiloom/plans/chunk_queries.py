@@ -23,6 +23,7 @@ _NUMBERS = {"WAC": ("100 + {d} % 800", "10 + {d} % 90", "100 + {i} % 900"), "RCW
 
 
 _BODY = "\ue000"  # in front of the lines of a document, while it is split: only the headers put in are headers
+_ENDS = ("\x85", "\u2028", "\u2029")  # where expressions see the end of a line, besides \\n
 
 
 def _headed(spark: SparkSession, d: str, agency: str) -> DataFrame:
@@ -33,7 +34,9 @@ def _headed(spark: SparkSession, d: str, agency: str) -> DataFrame:
 
     rows = views.table(spark, d, "documents").select("doc_id", F.transform(F.split("text", "\n", -1), line).alias("lines"))
     args = ", ".join("CAST(" + n.format(d="doc_id", i="s.i") + " AS INT)" for n in numbers)
-    body = rf"regexp_replace(s.x, r'(?m)^(?=.*\S)', '{_BODY}')"
+    body = f"if(btrim(s.x, ' \t\x0b\f\r') = '', s.x, concat('{_BODY}', s.x))"
+    for end in _ENDS:
+        body = f"replace({body}, '{end}', '{end}{_BODY}')"
     text = F.expr(f"array_join(transform(lines, s -> concat(format_string('{_FORMS[agency][0]}', {args}, s.i), '\\n', {body})), '\\n')")
     return rows.select(F.col("doc_id").cast("string").alias("filename"), text.alias("text"))
 
@@ -48,7 +51,8 @@ SELECT CAST(doc_id AS VARCHAR) AS filename, CAST(i AS INTEGER) AS chunk_index, f
 def _splitter(agency: str):
     def run(spark: SparkSession, d: str) -> DataFrame:
         rows = chunking.chunk_documents(_headed(spark, d, agency), agency, limit=1 << 30)
-        rows = rows.withColumn("text", F.regexp_replace("text", f"(?m)^{_BODY}", ""))
+        for end in ("\n", *_ENDS):
+            rows = rows.withColumn("text", F.replace("text", F.lit(end + _BODY), F.lit(end)))
         return rows.select("filename", "chunk_index", "citation", "section_title", F.length("text").alias("n"), F.md5("text").alias("hash"))
 
     run.__doc__ = f"Sections of {agency} documents, none over the limit."
