@@ -163,14 +163,10 @@ def session_numbers(spark: SparkSession, d: str) -> DataFrame:
 
 def stream_session_ttl(spark: SparkSession, d: str) -> DataFrame:
     """The events as a stream, in one run over what is there: sessions that the watermark has closed."""
-    import uuid
-
     schema = views.table(spark, d, "events").schema
     stream = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(d)
-    name = f"sessions_{uuid.uuid4().hex}"
-    run = streaming.stream_sessions(stream).writeStream.format("memory").queryName(name).outputMode("append").trigger(availableNow=True).start()
-    run.awaitTermination()
-    return spark.table(name).select("user_id", F.col("start").cast("timestamp_ntz").alias("start"), F.col("end").cast("timestamp_ntz").alias("end"), "n")
+    rows = streaming.closed(streaming.stream_sessions(stream))
+    return rows.select("user_id", F.col("start").cast("timestamp_ntz").alias("start"), F.col("end").cast("timestamp_ntz").alias("end"), "n")
 
 
 def last_n_turns(spark: SparkSession, d: str) -> DataFrame:

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..config import SESSION_CHUNKS, SESSION_MINUTES, SESSION_TURNS
+from ..sources import stores
 
 
 def sessions(events: DataFrame, minutes: int = SESSION_MINUTES) -> DataFrame:
@@ -25,6 +27,16 @@ def stream_sessions(events: DataFrame, minutes: int = SESSION_MINUTES, late: str
     return sessions(events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late), minutes)
 
 
+def closed(stream: DataFrame) -> DataFrame:
+    """The rows that a stream over what is there appends in one run, as a table in ``spark.checkpoint.dir``
+    (rows and state are written by the tasks; the driver holds none)."""
+    spark = stream.sparkSession
+    at = f"{stores.shared_dir(spark)}/streams/{uuid.uuid4().hex}"
+    run = stream.writeStream.format("parquet").option("path", f"{at}/rows").option("checkpointLocation", f"{at}/state").outputMode("append").trigger(availableNow=True).start()
+    run.awaitTermination()
+    return spark.read.schema(stream.schema).parquet(f"{at}/rows")
+
+
 def with_session(events: DataFrame, minutes: int = SESSION_MINUTES) -> DataFrame:
     """Adds the number of each event's session of its user."""
     w = Window.partitionBy("user_id").orderBy("ts", "event_id")

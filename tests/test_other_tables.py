@@ -4,6 +4,7 @@ import duckdb
 import pytest
 
 from lexiloom.plans import registry
+from tests.conftest import SF
 
 
 def both(spark, folder, name, **tables):
@@ -31,3 +32,10 @@ def test_lines_like_headers_do_not_split_a_section(spark, tmp_path, agency):
     docs = spark.createDataFrame([(155880, "\n".join(lines)), (7, "42.97 t\n"), (8, ""), (9, "\n\n"), (10, None)], "doc_id long, text string")
     got, want = both(spark, tmp_path, f"chunk_split_{agency}", documents=docs)
     assert got == want
+
+
+def test_closed_sessions_come_from_files_not_from_the_driver(spark):
+    before = {t.name for t in spark.catalog.listTables()}
+    df = registry.queries()["stream_session_ttl"](spark, SF)
+    assert df.inputFiles() and {t.name for t in spark.catalog.listTables()} <= before
+    assert df.count() > 0
