@@ -13,40 +13,40 @@ from ..functions import dot, terms, unit
 def hashed_vector(text: Column, dims: int = 64) -> Column:
     """Unit vector of a text's words, each counted at one place with one sign by its hash; null without words.
 
-    It stands in for a model where there is none: equal texts have equal vectors.  One Arrow batch at a
-    time, as a sum over places is not a built-in expression."""
+    It stands in for a model where there is none: equal texts have equal vectors.  Words are hashed to
+    places by Spark; Python, as a sum over places is not a built-in expression, sees two bytes a word."""
 
     @F.pandas_udf("array<double>")
-    def vector(words):
-        import zlib
-
+    def vector(places):
         import numpy as np
         import pandas as pd
 
         out = []
-        for w in words:
-            h = np.array([zlib.crc32(x.encode()) for x in w] if w is not None else [], np.int64) % (2 * dims)
+        for w in places:
+            h = np.asarray(w if w is not None else [], np.int64)
             v = np.bincount(h % dims, np.where(h < dims, 1.0, -1.0), dims)
             n = float(np.sqrt(v @ v))
             out.append((v / n).tolist() if n else None)
         return pd.Series(out)
 
-    return vector(terms(text))
+    return vector(F.transform(terms(text), lambda w: (F.crc32(w.cast("binary")) % (2 * dims)).cast("short" if dims <= 1 << 14 else "int")))
 
 
 def embed(rows: DataFrame, model: Callable[[list[str]], list[list[float]]], batch: int = 100) -> DataFrame:
     """id, vector of rows(id, text) by a model called with at most ``batch`` texts, in order.  The model
-    is a seam: it is pickled to the tasks and may be a client with its own retries."""
+    is a seam: it is pickled to the tasks and may be a client with its own retries.  No more than
+    ``batch`` texts are Python objects at a time."""
 
-    def run(frames: Iterator):
-        import pandas as pd
+    def run(batches: Iterator):
+        import pyarrow as pa
 
-        for pdf in frames:
-            for i in range(0, len(pdf), batch):
-                part = pdf.iloc[i : i + batch]
-                yield pd.DataFrame({"id": part.id, "vector": model(part.text.fillna("").tolist())})
+        for rows in batches:
+            for i in range(0, rows.num_rows, batch):
+                part = rows.slice(i, batch)
+                vectors = model([t if t is not None else "" for t in part.column("text").to_pylist()])
+                yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(vectors, pa.list_(pa.float64()))], ["id", "vector"])
 
-    return rows.select("id", "text").mapInPandas(run, "id long, vector array<double>")
+    return rows.select(F.col("id").cast("long").alias("id"), "text").mapInArrow(run, "id long, vector array<double>")
 
 
 def cells(vectors: DataFrame, k: int, seed: int = 1, sample: int = 100_000) -> tuple[DataFrame, DataFrame]:
