@@ -26,55 +26,67 @@ def vector_topk(vectors: DataFrame, query: list[float] | Column, k: int = VECTOR
     return near.where("score is not null").orderBy(F.desc("score"), "id").limit(k)
 
 
-def batch_knn(queries: DataFrame, base: DataFrame, k: int, block: int = 4096) -> DataFrame:
+def batch_knn(queries: DataFrame, base: DataFrame, k: int, block: int = 32_768) -> DataFrame:
     """query_id, id, score: for each row of ``queries(id, vector, agency)`` its k nearest rows
     of ``base`` by cosine, other than itself (ties by id).
 
-    Queries go by blocks of at most about ``block`` to the tasks that hold base
-    rows, as matrices; every block is one pass over base, and a task returns k
-    rows a query, so nothing grows with the product of both sides."""
-    n = queries.count()
-    blocks = max(1, -(-n // block))
-    found = None
-    for j in range(blocks):
-        rows = queries.where(F.pmod(F.xxhash64("id"), F.lit(blocks)) == j).select("id", "vector").collect()
-        rows = [r for r in rows if r["vector"] is not None and any(r["vector"])]
-        if not rows:
-            continue
-        names = np.array([r["id"] for r in rows], np.int64)
-        q = np.array([r["vector"] for r in rows], np.float64)
-        shared = base.sparkSession.sparkContext.broadcast((names, q / np.linalg.norm(q, axis=1, keepdims=True)))
-
-        def run(batches, shared=shared):
-            import pandas as pd
-
-            names, q = shared.value
-            for pdf in batches:
-                pdf = pdf[pdf.vector.notna()]
-                if not len(pdf):
-                    continue
-                v = np.stack([np.asarray(x, np.float64) for x in pdf.vector])
-                length = np.linalg.norm(v, axis=1)
-                v, own = v[length > 0] / length[length > 0, None], pdf.id.to_numpy()[length > 0]
-                if not len(own):
-                    continue
-                order = np.argsort(own, kind="stable")
-                v, own = v[order], own[order]
-                s = q @ v.T
-                s[names[:, None] == own[None, :]] = -np.inf
-                top = np.argsort(-np.round(s, 12), axis=1, kind="stable")[:, :k]
-                at = np.repeat(np.arange(len(names)), top.shape[1])
-                out = pd.DataFrame({"query_id": names[at], "id": own[top.ravel()], "score": s[at, top.ravel()]})
-                yield out[np.isfinite(out.score)]
-
-        part = base.select("id", "vector").mapInPandas(run, "query_id long, id long, score double")
-        found = part if found is None else found.union(part)
-    if found is None:
-        return base.sparkSession.createDataFrame([], "query_id long, id long, score double")
+    Both sides go by blocks of about ``block`` rows (fewer of long vectors, and to have work for 64 tasks), and every block of queries meets every block of base
+    in a task of its own, as matrices: the pairs are all compared, as the result needs, but no task or driver
+    holds more than two blocks, and a task returns k rows a query."""
+    (n, _), (m, dims) = (x.agg(F.count("*"), F.coalesce(F.max(F.size("vector")), F.lit(1))).first() for x in (queries, base))
+    block = max(1, min(block, max(1024, (1 << 22) // max(1, dims))))
+    here, there = (max(1, -(-x // block), min(8, -(-x // 4096))) for x in (n, m))
+    side = lambda rows, blocks, name: rows.where("vector is not null").select(F.col("id").cast("long").alias("id"), F.col("vector").alias("vector"), F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias(name))
+    q = side(queries, here, "i").withColumn("j", F.explode(F.sequence(F.lit(0), F.lit(there - 1)))).select("i", "j", "id", "vector")
+    v = side(base, there, "j").withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(here - 1)))).select("i", "j", "id", "vector")
+    # a task for every few pairs of blocks, whatever the size of their shuffle
+    tasks = min(here * there, max(16, here * there // 4))
+    q, v = (x.repartition(tasks, "i", "j") for x in (q, v))
+    found = q.groupBy("i", "j").cogroup(v.groupBy("i", "j")).applyInArrow(lambda a, b: _nearest(a, b, k), "query_id long, id long, score double")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc(F.round("score", 12)), "id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
+def _unit_rows(table) -> tuple[np.ndarray, np.ndarray]:
+    """Ids and unit vectors of the rows that have a direction, by id."""
+    ids = table.column("id").to_numpy()
+    column = table.column("vector").combine_chunks()
+    v = np.asarray(column.flatten(), np.float64).reshape(len(ids), -1) if len(ids) else np.zeros((0, 0))
+    length = np.linalg.norm(v, axis=1)
+    order = np.argsort(ids, kind="stable")
+    order = order[length[order] > 0]
+    return ids[order], v[order] / length[order, None]
+
+
+def _nearest(queries, base, k: int, rows: int = 256):
+    """The k nearest of ``base`` to each of ``queries``, both Arrow tables (id, vector), ties of 12 places by id.
+
+    Single precision finds those that can be among them, by a margin over its error on unit vectors; doubles order these."""
+    import pyarrow as pa
+
+    (names, q), (own, v) = _unit_rows(queries), _unit_rows(base)
+    out: list[tuple] = []
+    margin = np.float32(1e-5 + v.shape[1] * 2.0**-22)
+    q32, v32 = q.astype(np.float32), v.astype(np.float32)
+    for at in range(0, len(names) if len(own) else 0, rows):
+        s = q32[at : at + rows] @ v32.T
+        same = np.searchsorted(own, names[at : at + rows])
+        for copy in range(int(np.unique(own, return_counts=True)[1].max())):  # a row itself, however often it is there
+            where = np.minimum(same + copy, len(own) - 1)
+            hit = own[where] == names[at : at + rows]
+            s[np.flatnonzero(hit), where[hit]] = -np.inf
+        least = np.partition(s, -k, axis=1)[:, -k] if len(own) > k else np.full(len(s), -np.inf, np.float32)
+        i, j = np.nonzero(s >= np.maximum(least - margin, np.float32(-2))[:, None])
+        exact = np.einsum("nd,nd->n", q[at + i], v[j])
+        order = np.lexsort((j, -np.round(exact, 12), i))
+        i, j, exact = i[order], j[order], exact[order]
+        first = np.searchsorted(i, i)
+        keep = np.arange(len(i)) - first < k
+        out.append((names[at + i[keep]], own[j[keep]], exact[keep]))
+    columns = [np.concatenate([o[c] for o in out]) if out else np.zeros(0, t) for c, t in enumerate((np.int64, np.int64, np.float64))]
+    return pa.table(dict(zip(("query_id", "id", "score"), columns)))
+
+
 @dataclass
 class TextIndex:
     """Postings (id, term, tf, agency), one row a document and term, and document lengths."""
