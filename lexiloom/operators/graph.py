@@ -84,10 +84,11 @@ def node_context(edges: DataFrame, nodes: DataFrame, ids: DataFrame, types: Sequ
 
 def relationship_panel(edges: DataFrame, nodes: DataFrame, ids: DataFrame, most: int = 5) -> DataFrame:
     """id, panel (cites, cited_by, implements, subject_to), other, n: at most ``most`` a panel."""
-    c = node_context(edges, nodes, ids)
-    out = F.col("direction") == "out"
+    out = F.col("out")
     panel = F.when(out & F.col("rel_type").isin("CITES", "DEFINED_BY"), "cites").when(~out & (F.col("rel_type") == "CITES"), "cited_by").when(out & (F.col("rel_type") == "IMPLEMENTS"), "implements").when(out & (F.col("rel_type") == "SUBJECT_TO"), "subject_to")
-    rows = c.withColumn("panel", panel).where("panel is not null").select("id", "panel", "other").distinct()
+    # no citation is shown, so edges are not joined with nodes; all that follows is by id, after one exchange
+    walk = both_ways(edges.where(F.col("rel_type").isin("CITES", "IMPLEMENTS", "SUBJECT_TO", "DEFINED_BY"))).select(F.col("a").alias("id"), panel.alias("panel"), F.col("b").alias("other"))
+    rows = walk.where("panel is not null").join(ids.select("id"), "id", "left_semi").distinct()
     n = F.row_number().over(Window.partitionBy("id", "panel").orderBy("other"))
     return rows.withColumn("n", n).where(F.col("n") <= most)
 
@@ -257,7 +258,7 @@ def cross_document(edges: DataFrame, chunks: DataFrame, one, two) -> DataFrame:
 
 def neighbourhood(edges: DataFrame, ids: DataFrame, hops: int = 2) -> DataFrame:
     """id, hop: nodes within ``hops`` undirected hops, with the least hop."""
-    walk = both_ways(edges).select("a", "b").distinct()
+    walk = both_ways(edges).select("a", "b")  # repeated edges go with the distinct of what they reach
     reach = front = ids.select("id", F.lit(0).alias("hop"))
     for h in range(1, hops + 1):
         front = walk.join(front.select("id").distinct(), F.col("a") == F.col("id")).select(F.col("b").alias("id"), F.lit(h).alias("hop")).distinct()
