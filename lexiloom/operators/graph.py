@@ -146,12 +146,13 @@ def beam(edges: DataFrame, vectors: DataFrame, seeds: DataFrame, query: list[flo
 def next_chain(chunks: DataFrame, vectors: DataFrame, seeds: DataFrame, query: list[float], threshold: float = NEXT_THRESHOLD, hops: int = NEXT_HOPS) -> DataFrame:
     """id, seed, hop, score: neighbours in the file, up to ``hops`` each way, while each has a vector of
     cosine at or over the threshold.  Seeds themselves are skipped without ending the chain.  One join on
-    (file, index), then a running break flag - no iteration."""
+    (file, index), then a running break flag - no iteration.  ``vectors`` may hold cosines as ``score``
+    in place of vectors, where many rows share one."""
     q = F.array(*[F.lit(float(x)) for x in query])
     at = seeds.join(chunks.select("id", "filename", "chunk_index"), "id").select(F.col("id").alias("seed"), "filename", "chunk_index")
     steps = F.array(*[F.lit(i) for i in range(-hops, hops + 1) if i])
     reach = at.withColumn("hop", F.explode(steps)).select("seed", "filename", (F.col("chunk_index") + F.col("hop")).alias("chunk_index"), "hop")
-    near = vectors.select("id", cosine(F.col("vector"), q).alias("score"))
+    near = vectors.select("id", F.col("score") if "score" in vectors.columns else cosine(F.col("vector"), q).alias("score"))
     rows = reach.join(chunks.select("id", "filename", "chunk_index"), ["filename", "chunk_index"], "left").join(near, "id", "left")
     rows = rows.join(seeds.select(F.col("id"), F.lit(True).alias("old")), "id", "left")
     stop = F.when(F.col("old"), 0).otherwise(F.when(F.col("score") >= threshold, 0).otherwise(1))

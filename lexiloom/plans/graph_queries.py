@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import EDGE_TYPES
+from ..functions import cosine
 from ..operators import citations, graph
 from . import views
 from .search_queries import _COS, _values
@@ -268,9 +269,12 @@ def next_chain_expand(spark: SparkSession, d: str) -> DataFrame:
     seq = views.sequence(spark, d)
     v = views.chunk_vec(spark, d)
     m = v.count()
-    vectors = seq.join(v.select(F.col("id").alias("vid"), "vector"), F.col("part") % m == F.col("vid")).select("id", "vector")
+    query = views.query_vec(spark, d)
+    # one cosine a vector, not one a line that has it
+    near = v.select(F.col("id").alias("vid"), cosine(F.col("vector"), F.array(*map(F.lit, query))).alias("score"))
+    scores = seq.join(near, F.col("part") % m == F.col("vid")).select("id", "score")
     seeds = seq.where("chunk_index = 3").select("id")
-    return graph.next_chain(seq, vectors, seeds, views.query_vec(spark, d), threshold=-0.05).select("id", "seed", "hop", F.round("score", 6).alias("score"))
+    return graph.next_chain(seq, scores, seeds, query, threshold=-0.05).select("id", "seed", "hop", F.round("score", 6).alias("score"))
 
 
 _CHAIN = f"""WITH {_VEC}, q AS (SELECT v AS qv FROM v WHERE id = 0), s AS ({views.SEQUENCE}),
